@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, media, packing, tokens, url_filter
+from . import decontamination, html_text, media, packing, tokens, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, [*url_filter.CONTRACT_RULES, *url_filter.OWN_RULES]).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -37,11 +41,33 @@ QUERIES: dict[str, Query] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_token_counts": op2_token_counts,
     "op4_url_filters": op4_url_filters,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_media_columns": op10_media_columns,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_benchmark_decontamination": r"""
+        with low as (
+            select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents
+        ), item as (
+            select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark
+        ), win as (
+            select distinct item_id, n, array_to_string(w[p : p + n - 1], ' ') as win
+            from (select item_id, w, least(len(w), 10) as n, unnest(range(1, len(w) - least(len(w), 10) + 2)) as p from item where len(w) > 0)
+        ), seen as (
+            select doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') as win
+            from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from low, (select distinct n from win) where len(w) >= n)
+        ), hit as (
+            select doc_id, p, seen.n, item_id from seen join win on seen.win = win.win and seen.n = win.n
+        ), pos as (
+            select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from hit) group by doc_id
+        ), items as (
+            select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as s from (select distinct doc_id, cast(item_id as varchar) as i from hit) group by doc_id
+        )
+        select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from low left join pos using (doc_id) left join items using (doc_id)
+    """,
     "op4_url_filters": r"""
         with u as (
             select page_id, case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
