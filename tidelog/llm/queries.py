@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, media, packing, tokens, url_filter
+from . import decontamination, html_text, media, near_dup, packing, quality, tokens, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,10 +25,18 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, [*url_filter.CONTRACT_RULES, *url_filter.OWN_RULES]).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -41,12 +49,38 @@ QUERIES: dict[str, Query] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_token_counts": op2_token_counts,
     "op4_url_filters": op4_url_filters,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_media_columns": op10_media_columns,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_minhash_near_dedup": r"""
+        with recursive w as (
+            select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+        ), s as (
+            select distinct doc_id, array_to_string(w[p : p + least(len(w), 4) - 1], ' ') as s
+            from (select doc_id, w, unnest(range(1, len(w) - least(len(w), 4) + 2)) as p from w where len(w) > 0)
+        ), n as (
+            select doc_id, count(*) as n from s group by doc_id
+        ), met as (
+            select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all
+        ), link as (
+            select a, b from met join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)
+        ), edge as (
+            select a, b from link union all select b, a from link
+        ), reach as (
+            select doc_id as id, doc_id as r from documents
+            union
+            select reach.id, edge.b from reach join edge on reach.r = edge.a
+        ), best as (
+            select id, min(r) as component_id from reach group by id
+        )
+        select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id, doc_id = component_id as kept
+        from documents left join n using (doc_id) join best on best.id = doc_id
+    """,
     "op6_benchmark_decontamination": r"""
         with low as (
             select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents
