@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, html_text, media, near_dup, packing, quality, tokens, url_filter
+from . import decontamination, html_text, media, near_dup, packing, quality, sharding, suffix_dedup, tokens, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.histogram(tokens.counts(table(spark, sf_dir, "documents")))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.stored(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, [*url_filter.CONTRACT_RULES, *url_filter.OWN_RULES]).select("page_id", "host", "path", "rule", "verdict")
@@ -41,6 +46,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.media_columns(table(spark, sf_dir, "documents")))
 
@@ -48,11 +58,13 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_token_counts": op2_token_counts,
+    "op3_sharding": op3_sharding,
     "op4_url_filters": op4_url_filters,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_media_columns": op10_media_columns,
 }
 
