@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import bloom, codec, naming, sizes
 from tidelog.operators import consensus, index, layout, metrics, mvcc, recovery, requests, retention
+from tidelog.plans.leveled import Leveled
 from tidelog.schema import DELETE, PUT, LogError
 from tidelog.sources import catalog, config, sstable, wal
 
@@ -67,6 +68,17 @@ def test_tombstones_over_deeper_files(spark):
     assert retention.compact(log, 100).count() == 0
 
 
+def test_keys_in_many_ranges(spark, monkeypatch):
+    rng = random.Random(8)
+    bounds = [tuple(sorted((f"k{rng.randrange(9999):04d}", f"k{rng.randrange(9999):04d}"[:rng.randrange(3, 6)]))) for _ in range(60)]
+    files = spark.createDataFrame([(a, min(b, a + "5")) for a, b in bounds if a <= min(b, a + "5")], "min_key string, max_key string")
+    keys = [(f"k{i:04d}",) for i in range(0, 9999, 7)] + [("",), ("z",)]
+    want = sorted(k for k in keys if any(r["min_key"] <= k[0] <= r["max_key"] for r in files.collect()))
+    for few in (64, 0):
+        monkeypatch.setattr(retention, "FEW_RANGES", few)
+        assert rows_of(retention.covered(spark.createDataFrame(keys, "key string"), files), "key") == want
+
+
 def test_tiered_compaction(spark):
     log = log_of(spark, [("a", 1, PUT, "old"), ("a", 2, PUT, "middle"), ("b", 2, PUT, "before-delete"), ("a", 4, PUT, "new"), ("b", 4, DELETE, "")])
     kept = retention.compact(log, 2)
@@ -93,6 +105,23 @@ def test_rolling_gives_disjoint_files(spark):
     assert sum(r["bytes"] for r in out) == sum(17 + len(k) + len(v) for k, _, _, v in rows)
 
 
+def leveled_store(spark, rows):
+    return spark.createDataFrame(rows, "level int, file_no long, key string, seq long, type int, value string")
+
+
+def test_leveled_compaction(spark):
+    rows = [(0, f, f"key{k:03d}", f * 50 + k + 1, PUT, f"f{f}") for f in range(4) for k in range(50)]
+    after = Leveled().step(leveled_store(spark, rows), 1000)
+    assert after.count() == 50 and rows_of(after, "level")[0] == (1,) and {r["value"] for r in after.collect()} == {"f3"}
+    assert Leveled().step(after, 1000) is None
+    every = Leveled(target=2000).step(leveled_store(spark, [r[:5] + ("v" * 30,) for r in rows]), 0)
+    files = layout.file_metadata(every, ("level", "file_no")).orderBy("min_key").collect()
+    assert every.count() == 200 and len(files) > 3 and all(a["max_key"] < b["min_key"] for a, b in zip(files, files[1:], strict=False))
+    deep = [(3, 9, "shadowed", 1, PUT, "x")] + [(0, i, k, s, t, v) for i, (k, s, t, v) in enumerate([("gone", 2, PUT, "x"), ("shadowed", 3, PUT, "x"), ("gone", 5, DELETE, ""), ("shadowed", 6, DELETE, "")])]
+    left = Leveled().settle(leveled_store(spark, deep), 100)
+    assert rows_of(left, "level", "key", "seq") == [(1, "shadowed", 6), (3, "shadowed", 1)]
+
+
 def test_sparse_index(spark):
     ix = spark.createDataFrame([(1, "b"), (1, "d"), (1, "f"), (1, "h")], "file_no long, key string")
     ask = spark.createDataFrame([("a",), ("c",), ("g",), ("z",), ("b",)], "key string")

@@ -3,12 +3,20 @@ deeper may hold the key."""
 
 from __future__ import annotations
 
+import bisect
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import DELETE
 from .mvcc import byte_size
 
+#: Merged key ranges that are compared one by one, and that may be sent to the tasks (two keys each).
+FEW_RANGES = 64
+RANGES_ON_DRIVER = 1_000_000
+
 
 def marked(log: DataFrame, floor: int | Column, deeper: DataFrame | None = None) -> DataFrame:
     """log, one row a (key, seq), with keep: will the version survive? deeper: (min_key, max_key) of files below the
@@ -25,13 +33,24 @@ def marked(log: DataFrame, floor: int | Column, deeper: DataFrame | None = None)
 
 
 def covered(keys: DataFrame, files: DataFrame) -> DataFrame:
-    """Distinct keys inside at least one file's range. Overlapping ranges are merged first, so a key meets at most one:
-    the range with the greatest start at or under it, found in one ordered pass over keys and starts by head bytes."""
+    """Distinct keys (strings) inside at least one file's range. Overlapping ranges are merged first. A few ranges are
+    compared one by one; up to RANGES_ON_DRIVER sorted bounds travel to the tasks, which search them by halves."""
     order = Window.orderBy("min_key", "max_key").rowsBetween(Window.unboundedPreceding, -1)
     # file metadata: a row a file
     islands = files.select("min_key", "max_key").withColumn("_top", F.max("max_key").over(order)).withColumn("_new", (F.col("_top").isNull() | (F.col("min_key") > F.col("_top"))).cast("int"))
     islands = islands.withColumn("_no", F.sum("_new").over(Window.orderBy("min_key", "max_key"))).groupBy("_no").agg(F.min("min_key").alias("min_key"), F.max("max_key").alias("max_key"))
-    return keys.join(islands, F.col("key").between(F.col("min_key"), F.col("max_key")), "left_semi")
+    bounds = sorted((r["min_key"].encode(), r["max_key"].encode()) for r in islands.limit(RANGES_ON_DRIVER + 1).select("min_key", "max_key").collect())
+    if not FEW_RANGES < len(bounds) <= RANGES_ON_DRIVER:
+        return keys.join(islands, F.col("key").between(F.col("min_key"), F.col("max_key")), "left_semi")
+    shared = keys.sparkSession.sparkContext.broadcast(bounds)
+
+    @F.pandas_udf(T.BooleanType())
+    def inside(key: pd.Series) -> pd.Series:
+        starts = [a for a, _ in shared.value]
+        at = [bisect.bisect_right(starts, k.encode()) - 1 for k in key]
+        return pd.Series([i >= 0 and k.encode() <= shared.value[i][1] for i, k in zip(at, key, strict=True)], dtype=bool)
+
+    return keys.where(inside("key"))
 
 
 def compact(log: DataFrame, floor: int | Column, deeper: DataFrame | None = None) -> DataFrame:

@@ -107,6 +107,17 @@ ORACLES: dict[str, str] = {
     "compact_leveled": sql(
         _kept("(select * from ev_files where level = 0)", FLOOR, "not exists (select 1 from meta where level = 1 and file_no % 2 = 0 and key between min_key and max_key)"), "meta"
     ),
+    # more than four files on level 0 outweigh level 1 at every scale of the tables
+    "leveled_cycle": sql(
+        """select 1 as level, min(key) as min_key, max(key) as max_key, cast(sum(c) as bigint) as entries, cast(sum(b) as bigint) as bytes from fold group by file
+        union all select level, min_key, max_key, entry_count, data_bytes from meta, span where level = 1 and not (max_key >= lo and min_key <= hi)""",
+        "meta",
+        recursive=f"""span as (select min(min_key) as lo, max(max_key) as hi from meta where level = 0),
+            kept as ({_kept("(select f.* from ev_files f, span where level = 0 or f.file_no in (select file_no from meta where level = 1 and max_key >= lo and min_key <= hi))", FLOOR)}),
+            k as (select key, sum(strlen(key) + strlen(value) + 17) as b, count(*) as c, row_number() over (order by key) as no from kept group by key), fold(no, key, b, c, file, held) as (
+            select no, key, b, c, cast(1 as bigint), cast(b as bigint) from k where no = 1
+            union all select k.no, k.key, k.b, k.c, case when f.held >= 20000 then f.file + 1 else f.file end, case when f.held >= 20000 then cast(k.b as bigint) else cast(f.held + k.b as bigint) end from fold f join k on k.no = f.no + 1)""",
+    ),
     "compaction_stats": sql(
         f"""select n as entries_in, o as entries_out, n - o as entries_dropped, bi as bytes_in, bo as bytes_out from
         (select count(*) as n, cast(sum(strlen(key) + strlen(value) + 17) as bigint) as bi from (select * from ev_log union all select * from ev_log where seq % 5 = 0)),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions import bloom, naming, sizes
 from ..operators import consensus, index, layout, metrics, mvcc, recovery, requests, retention
+from .leveled import Leveled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -159,6 +160,14 @@ def compact_leveled(spark, sf_dir):
     return retention.compact(files.where("level = 0").select("key", "seq", "type", "value"), _number(log, 9, 10), deeper)
 
 
+@query
+def leveled_cycle(spark, sf_dir):
+    """Files of the store after one leveled compaction: level, min_key, max_key, entries, bytes."""
+    store = Leveled(l1_bytes=L1_BYTES, target=ROLL_BYTES)
+    after = store.step(fx.event_files(spark, sf_dir), _number(fx.event_log(spark, sf_dir), 9, 10))
+    return layout.file_metadata(after, ("level", "file_no")).select("level", "min_key", "max_key", F.col("entry_count").alias("entries"), F.col("data_bytes").alias("bytes"))
+
+
 @query
 def compaction_stats(spark, sf_dir):
     log = fx.event_log(spark, sf_dir)
