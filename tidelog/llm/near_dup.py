@@ -7,9 +7,10 @@
    number of lists that a pair shares; a pair needs as many as its unfrequented values less SLACK (of 32 values at
    0.8, over 20 differ once in 10 ** 7).
 3. Values in longer lists are frequent. Classes with more than SLACK other values are found by those. For the rest
-   ("dense" classes: little but frequent values), each long list first links its classes with four leaders; lists
-   that still hold several components afterwards are compared exactly, in blocks of bounded size, between classes of
-   different components only.
+   ("dense" classes: little but frequent values), each long list first links its classes with two leaders: the class of
+   the most frequent values, which is what near copies were made from, and the least; lists that still hold several
+   components afterwards are compared in blocks of bounded size, between classes of different components only, on sets
+   up to WIDE values and on as many of larger ones.
 4. Union sketches estimate the Jaccard of candidates and drop those under FLOOR; the rest is verified on whole sets:
    first the best candidate of each class, then, once components are known, what would still join two.
 
@@ -40,6 +41,8 @@ FLOOR = 0.4
 #: Frequent values of a dense class that are followed, and rows of a block of a long list.
 FOLLOWED = 8
 BLOCK = 1024
+#: Values by which the classes of a block are compared.
+WIDE = 256
 #: Ids (8 bytes each) that may be broadcast to pick the texts to verify.
 BROADCAST_IDS = 1_000_000
 
@@ -137,32 +140,53 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", est.alias("est")).where(F.col("est") >= FLOOR)
 
 
+def close_pairs(n: np.ndarray, component: np.ndarray, values: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components that may reach `percent`, by counts of common values: exact where both sets are
+    whole, else at a floor five deviations under the estimate that such pairs have. Frequent values are counted by
+    one matrix product, others list by list; no row of the largest component meets another one of it."""
+    names, counts = np.unique(component, return_counts=True)
+    left = np.flatnonzero(component != names[counts.argmax()])
+    at = np.full(len(n), -1)
+    at[left] = np.arange(len(left))
+    of = np.repeat(np.arange(len(n)), [len(v) for v in values])
+    flat = np.concatenate(values)
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], of[order]
+    cuts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1], True])
+    size = np.diff(cuts)
+    shared = np.zeros((len(left), len(n)), np.float32)
+    wide = np.flatnonzero(size > 48)
+    for part in (wide[i : i + 2048] for i in range(0, len(wide), 2048)):
+        has = np.zeros((len(n), len(part)), np.float32)
+        for k, w in enumerate(part):
+            has[of[cuts[w] : cuts[w + 1]], k] = 1
+        shared += has[left] @ has.T
+    for w in np.flatnonzero((size > 1) & (size <= 48)):
+        rows = of[cuts[w] : cuts[w + 1]]
+        mine = at[rows]
+        shared[np.ix_(mine[mine >= 0], rows)] += 1
+    a, b = n[left][:, None], n[None]
+    whole = (a <= WIDE) & (b <= WIDE)
+    enough = np.where(whole, 100 * shared >= percent * (a + b - shared), shared >= (percent / 100 - 5 * (0.25 / WIDE) ** 0.5) * np.minimum(np.minimum(a, b), WIDE))
+    i, j = np.nonzero(enough & (component[left][:, None] != component[None]) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent))
+    return left[i], j
+
+
 def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs between components in long lists. Every list is dealt into blocks of about BLOCK rows, every pair of blocks
-    is a group of its own, and a group gives only pairs that share enough of their sketches."""
+    """Pairs between components in long lists. Every list is dealt into blocks of about BLOCK rows and every pair of blocks
+    is a group of its own. rows: v, x, n, component, low (the WIDE least values of x)."""
     sizes = rows.groupBy("v").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
     dealt = rows.join(sizes.select("v", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), "v").withColumn("p", F.pmod(F.xxhash64("x"), F.col("nb")).cast("int"))
-    dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("v", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "x", "n", "component", "sketch")
+    dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("v", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "x", "n", "component", "low")
 
     def run(_: tuple, t: pa.Table) -> pa.Table:
-        n = np.asarray(t["n"])
-        x, c, p = (np.asarray(t[k]) for k in ("x", "component", "p"))
-        lists = t["sketch"].combine_chunks()
-        of = np.repeat(np.arange(len(n)), np.diff(np.asarray(lists.offsets)))
-        values = np.asarray(lists.flatten())
-        order = np.argsort(values, kind="stable")
-        values, of = values[order], of[order]
-        cuts = np.flatnonzero(np.r_[True, values[1:] != values[:-1], True])
-        shared = np.zeros((len(n), len(n)), np.uint8)
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b - a > 1:
-                shared[np.ix_(of[a:b], of[a:b])] += 1
-        wide = np.maximum(n[:, None], n[None])
-        good = (shared >= FLOOR * np.minimum(wide, K)) & (c[:, None] != c[None]) & (np.minimum(n[:, None], n[None]) * 100 >= wide * percent) & (x[:, None] < x[None])
+        n, x, c, p = (np.asarray(t[k]) for k in ("n", "x", "component", "p"))
+        values = [np.frombuffer(v.as_buffer(), np.uint64) for chunk in t["low"].chunks for v in chunk]
+        i, j = close_pairs(n, c, values, percent) if len(n) > 1 else (np.zeros(0, int), np.zeros(0, int))
         if len(set(p.tolist())) > 1:  # pairs within a block belong to that block's own group
-            good &= p[:, None] != p[None]
-        i, j = np.nonzero(good)
-        return pa.table({"a": x[i], "b": x[j]})
+            i, j = i[p[i] != p[j]], j[p[i] != p[j]]
+        ab = np.unique(np.stack([np.minimum(x[i], x[j]), np.maximum(x[i], x[j])], 1), axis=0)
+        return pa.table({"a": pa.array(ab[:, 0], pa.int64()), "b": pa.array(ab[:, 1], pa.int64())})
 
     return dealt.groupBy("v", "i", "j").applyInArrow(run, "a long, b long")
 
@@ -178,7 +202,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) ->
 
         lists = classes.select("x", "n", F.explode("sketch").alias("v"))
         lengths = lists.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
-        found = lists.join(lengths, "v").groupBy("x", "n").agg(F.collect_list(F.when(F.col("m") <= LIST, F.col("v"))).alias("cold"), F.collect_list(F.when(F.col("m") > LIST, F.col("v"))).alias("hot"))
+        found = lists.join(lengths, "v").groupBy("x", "n").agg(F.collect_list(F.when(F.col("m") <= LIST, F.col("v"))).alias("cold"), F.collect_list(F.when(F.col("m") > LIST, F.col("v"))).alias("hot"), F.sum("m").alias("fame"))
         # values of lists of one count as unfrequented as well
         found = scratch.keep(found.withColumn("others", F.least(F.lit(K), F.col("n")) - F.size("hot")), "lists")
 
@@ -189,15 +213,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) ->
             .groupBy("a", "b", "na", "oa", "ob").agg(F.count("*").alias("shared"))
             .where(F.col("shared") >= F.greatest(F.lit(1), F.least("oa", "ob") - slack))
         )
-        dense = found.where(F.size("hot") > 0).where(F.col("others") <= SLACK).select("x", "n", F.explode(F.slice(F.array_sort("hot"), 1, FOLLOWED)).alias("v"))
-        leaders = dense.groupBy("v").agg(F.min("x").alias("l1"), F.max("x").alias("l2"), F.min_by("x", F.struct("n", "x")).alias("l3"), F.max_by("x", F.struct("n", "x")).alias("l4"))
-        stars = dense.join(leaders, "v").select("x", F.explode(F.array("l1", "l2", "l3", "l4")).alias("l")).where("x <> l").select(F.least("x", "l").alias("a"), F.greatest("x", "l").alias("b"))
+        dense = found.where(F.size("hot") > 0).where(F.col("others") <= SLACK).select("x", "n", "fame", F.explode(F.slice(F.array_sort("hot"), 1, FOLLOWED)).alias("v"))
+        # what copies were made from holds the group's frequent values and none of its edits
+        leaders = dense.groupBy("v").agg(F.max_by("x", F.struct("fame", "x")).alias("l1"), F.min("x").alias("l2"))
+        stars = dense.join(leaders, "v").select("x", F.explode(F.array("l1", "l2")).alias("l")).where("x <> l").select(F.least("x", "l").alias("a"), F.greatest("x", "l").alias("b"))
 
         likely = scratch.keep(_estimated(pairs.select("a", "b").unionByName(stars), classes, percent), "likely")
         ends = likely.select(F.col("a").alias("x")).unionByName(likely.select(F.col("b").alias("x"))).distinct()
         edges = []
         if not likely.isEmpty():
-            rows = scratch.keep(dense.join(classes.select("x", "sketch"), "x"), "dense")
+            rows = scratch.keep(dense.select("x", "n", "v"), "dense")
             ends = ends.unionByName(rows.select("x")).distinct().join(classes.select("x", "rep"), "x")
             ends = scratch.keep(ends.select("x", "rep"), "ends")
             wanted = ends.select(F.col("rep").alias("doc_id")).distinct()
@@ -218,8 +243,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) ->
             edges.append(cut(_exact(apart(likely.join(first, ["a", "b"], "left_anti")), sets, percent)))
             known = cut(components(reduce(DataFrame.unionByName, edges)))
             rows = rows.join(known.withColumnRenamed("id", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
-            more = _estimated(_block_pairs(rows, percent), classes, percent)
-            edges.append(cut(_exact(more.select("a", "b"), sets, percent)))
+            rows = rows.join(sets.select("x", F.substring("shingles", 1, 8 * WIDE).alias("low")), "x")
+            edges.append(cut(_exact(_block_pairs(rows, percent).distinct(), sets, percent)))
             if not edges[-1].isEmpty():
                 known = cut(components(reduce(DataFrame.unionByName, edges)))
             of = classes.join(known.withColumnRenamed("id", "x"), "x", "left").select("x", "d2", "n", "rep", F.coalesce("component", "x").alias("component"))
