@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into numpy arrays at once (a longer document comes alone).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,7 @@ class Scratch(contextlib.AbstractContextManager):
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        self.freed = _free_shuffles(spark)
+        self.freed = _settings(spark)
 
     def __enter__(self) -> Scratch:
         self.freed.__enter__()
@@ -66,16 +66,21 @@ class Scratch(contextlib.AbstractContextManager):
         self.freed.__exit__(*_)
 
 
+#: Shuffle files of a finished execution go at once instead of waiting for a garbage collection; Python workers get
+#: batches of so few rows that long texts fit.
+_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 @contextlib.contextmanager
-def _free_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a finished execution go at once instead of waiting for a garbage collection."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def _settings(spark: SparkSession) -> Iterator[None]:
+    old = {k: spark.conf.get(k, None) for k in _CONF}
+    for k, v in _CONF.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def lower_ascii(c):
@@ -88,6 +93,8 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_B
 
     `bytes` are the rows' UTF-8 texts one after another, offsets[i]..offsets[i + 1] those of row first + i.
     """
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back
     col = batch.column(batch.schema.get_field_index(column))
     if not pa.types.is_large_binary(col.type):
         col = col.cast(pa.binary() if not pa.types.is_large_string(col.type) else pa.large_binary()).cast(pa.large_binary())

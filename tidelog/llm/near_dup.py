@@ -40,7 +40,7 @@ SLACK = 20
 FLOOR = 0.4
 #: Frequent values of a dense class that are followed, and rows of a block of a long list.
 FOLLOWED = 8
-BLOCK = 1024
+BLOCK = 512
 #: Values by which the classes of a block are compared.
 WIDE = 256
 #: Ids (8 bytes each) that may be broadcast to pick the texts to verify.

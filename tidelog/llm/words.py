@@ -23,7 +23,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=1)
+@functools.lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     back = pow(BASE, -1, 1 << 64)
     out = []
@@ -40,7 +40,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers and its inverse's, for at least n places."""
-    return _powers(1 << max(20, int(n).bit_length()))
+    return _powers(1 << max(16, int(n).bit_length()))
 
 
 def prefix_hash(flat: np.ndarray) -> np.ndarray:
