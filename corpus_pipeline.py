@@ -39,10 +39,10 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.lit("row"), F.col("text")))
-    found = decontamination.decontaminate(keyed.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    gone = cut(found.where("contaminated").select(F.col("doc_id").alias("_key")).distinct())
-    return _without(keyed, gone, "_key").select(docs.columns)
+    keyed = docs.withColumn("__llm_key", F.xxhash64(F.col("doc_id"), F.lit("row"), F.col("text")))
+    found = decontamination.decontaminate(keyed.select(F.col("__llm_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = cut(found.where("contaminated").select(F.col("doc_id").alias("__llm_key")).distinct())
+    return _without(keyed, gone, "__llm_key").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
