@@ -42,7 +42,7 @@ FLOOR = 0.4
 FOLLOWED = 8
 BLOCK = 512
 #: Values by which the classes of a block are compared.
-WIDE = 256
+WIDE = 1024
 #: Ids (8 bytes each) that may be broadcast to pick the texts to verify.
 BROADCAST_IDS = 1_000_000
 
@@ -143,7 +143,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def close_pairs(n: np.ndarray, component: np.ndarray, values: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of different components that may reach `percent`, by counts of common values: exact where both sets are
     whole, else at a floor five deviations under the estimate that such pairs have. Frequent values are counted by
-    one matrix product, others list by list; no row of the largest component meets another one of it."""
+    matrix products, others list by list; no row of the largest component meets another one of it. Of exact pairs
+    only those come back that join what others have not joined, so there are fewer than rows."""
     names, counts = np.unique(component, return_counts=True)
     left = np.flatnonzero(component != names[counts.argmax()])
     at = np.full(len(n), -1)
@@ -169,7 +170,19 @@ def close_pairs(n: np.ndarray, component: np.ndarray, values: list[np.ndarray],
     whole = (a <= WIDE) & (b <= WIDE)
     enough = np.where(whole, 100 * shared >= percent * (a + b - shared), shared >= (percent / 100 - 5 * (0.25 / WIDE) ** 0.5) * np.minimum(np.minimum(a, b), WIDE))
     i, j = np.nonzero(enough & (component[left][:, None] != component[None]) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent))
-    return left[i], j
+    known, i = whole[i, j], left[i]
+    names, root = np.unique(component, return_inverse=True)
+    root, of, joins = np.arange(len(names)).tolist(), root.tolist(), ~known
+    for k in np.flatnonzero(known).tolist():
+        x, y = of[i[k]], of[j[k]]
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            joins[k] = True
+    return i[joins], j[joins]
 
 
 def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
