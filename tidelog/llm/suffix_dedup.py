@@ -30,17 +30,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column, cut, text_chunks
+from .common import Scratch, column, cut, give_back, text_chunks
 from .words import mixed, powers, prefix_hash
 
 WINDOW = 50
 GRAM = 20
 #: Bytes of text whose anchors form a run, texts of about this many bytes to a hash range, and entries of a run.
-RUN_ANCHORS = 1_500_000
-RANGE_BYTES = 48 << 20
-RUN_ENTRIES = 400_000
-#: A text longer than this is read in overlapping segments.
-SEGMENT = 4 << 20
+RUN_ANCHORS = 500_000
+RANGE_BYTES = 16 << 20
+RUN_ENTRIES = 100_000
+#: Texts are read in overlapping segments whose arrays stay in the cache.
+SEGMENT = 96 << 10
 _PLACES = 24  # bits for a place in a segment beside the hash
 #: Ids (8 bytes each) that may be broadcast to pick the texts with shared anchors.
 BROADCAST_IDS = 1_000_000
@@ -81,39 +81,61 @@ def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-_ANCHORS = pa.schema([("range", pa.int32()), ("doc_id", pa.int64()), ("docs", pa.binary()), ("texts", pa.binary()), ("hashes", pa.binary()), ("shared", pa.binary())])
+_ANCHORS = pa.schema([("range", pa.int32()), ("doc_id", pa.int64()), ("docs", pa.binary()), ("texts", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("shared", pa.binary())])
+#: Bytes of an anchor's hash that are sent; a false match only lets a window go on to the exact merge.
+SENT = 6
+_LOW = np.uint64((1 << 8 * SENT) - 1)
+
+
+def _packed(hashes: np.ndarray) -> bytes:
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT]).tobytes()
+
+
+def _unpacked(raw) -> np.ndarray:
+    out = np.zeros((len(raw) // SENT, 8), np.uint8)
+    out[:, :SENT] = np.frombuffer(raw, np.uint8).reshape(-1, SENT)
+    return out.view("<u8").ravel()
+
+
+def _by_group(of: np.ndarray) -> np.ndarray:
+    """Edges of the stretches of equal numbers."""
+    return np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]) if len(of) else np.zeros(1, np.int64)
 
 
 def _anchor_runs(docs: DataFrame, n_ranges: int) -> DataFrame:
-    """Rows of two kinds: (range, docs, texts, hashes, shared) of a run's anchors, one entry a hash; and (doc_id,
-    hashes) with anchors that the run alone shows to be shared."""
+    """Rows of two kinds: of a run's anchors in a range, one entry a hash, laid out by document (docs, texts, counts;
+    hashes, shared); and (doc_id, hashes) with anchors that the run alone shows to be shared."""
 
-    def flush(ids: list, texts: list, rows: list, hashes: list, base: int) -> Iterator[pa.RecordBatch]:
+    def flush(ids: list, texts: list, rows: list, hashes: list) -> Iterator[pa.RecordBatch]:
         doc, text, row, h = np.concatenate(ids), np.concatenate(texts), np.concatenate(rows), np.concatenate(hashes)
         order = np.lexsort((doc[row], text[row], h))
         row, h = row[order], h[order]
         new = np.r_[True, h[1:] != h[:-1]]
         group = np.cumsum(new) - 1
-        other = np.r_[False, (h[1:] == h[:-1]) & (text[row][1:] != text[row][:-1])]
-        shared = np.bincount(group, weights=other, minlength=group[-1] + 1 if len(group) else 0) > 0
+        other = np.r_[False, ~new[1:] & (text[row[1:]] != text[row[:-1]])]
+        shared = np.bincount(group, weights=other, minlength=group[-1] + 1) > 0
         first = np.flatnonzero(new)
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[] for _ in _ANCHORS]
 
         def add(*values) -> None:
             for c, v in zip(out, values, strict=True):
                 c.append(v)
 
-        r = _ranges(h[first], n_ranges)
-        cuts = np.searchsorted(r, np.arange(n_ranges + 1))
+        cuts = np.searchsorted(_ranges(h[first], n_ranges), np.arange(n_ranges + 1))
         for k in range(n_ranges):
-            i = first[cuts[k] : cuts[k + 1]]
-            if len(i):
-                add(k, None, doc[row[i]].tobytes(), text[row[i]].tobytes(), h[i].tobytes(), shared[cuts[k] : cuts[k + 1]].tobytes())
+            a, b = cuts[k], cuts[k + 1]
+            if a == b:
+                continue
+            by = np.argsort(row[first[a:b]], kind="stable")
+            i = first[a:b][by]
+            ends = _by_group(row[i])
+            own = row[i[ends[:-1]]]
+            add(k, None, doc[own].tobytes(), text[own].tobytes(), np.diff(ends).astype("<u4").tobytes(), _packed(h[i]), np.packbits(shared[a:b][by]).tobytes())
         i = np.flatnonzero(shared[group])
-        by = i[np.argsort(row[i], kind="stable")]
-        ends = np.flatnonzero(np.r_[True, row[by][1:] != row[by][:-1], True]) if len(by) else []
+        i = i[np.argsort(row[i], kind="stable")]
+        ends = _by_group(row[i])
         for a, b in zip(ends, ends[1:], strict=False):
-            add(None, int(doc[row[by[a]]]), None, None, h[by[a:b]].tobytes(), None)
+            add(None, int(doc[row[i[a]]]), None, None, None, _packed(h[i[a:b]]), None)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ANCHORS, strict=True)], schema=_ANCHORS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,37 +153,49 @@ def _anchor_runs(docs: DataFrame, n_ranges: int) -> DataFrame:
                 keep = np.r_[True, (row[1:] != row[:-1]) | (h[s][1:] != h[s][:-1])] if len(s) else np.zeros(0, bool)
                 ids.append(np.asarray(column(batch, "doc_id").slice(a, b - a)))
                 texts.append(np.asarray(column(batch, "text_hash").slice(a, b - a)))
-                rows.append(row[keep] + base)
+                rows.append((row[keep] + base).astype(np.int32))
                 hashes.append(h[s[keep]])
                 base += b - a
                 held += int(keep.sum())
                 if held >= RUN_ANCHORS:
-                    yield from flush(ids, texts, rows, hashes, base)
+                    yield from flush(ids, texts, rows, hashes)
                     ids, texts, rows, hashes, base, held = [], [], [], [], 0, 0
         if held:
-            yield from flush(ids, texts, rows, hashes, base)
+            yield from flush(ids, texts, rows, hashes)
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "range int, doc_id long, docs binary, texts binary, hashes binary, shared binary")
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "range int, doc_id long, docs binary, texts binary, counts binary, hashes binary, shared binary")
 
 
 def _shared_anchors(runs: DataFrame) -> DataFrame:
     """(doc_id, hashes) of the anchors that two different texts hold."""
 
     def meet(t: pa.Table) -> pa.Table:
-        get = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for c in t[name].chunks for x in c])
-        doc, text, h, known = get("docs", np.int64), get("texts", np.int64), get("hashes", np.uint64), get("shared", bool)
+        rows = [(batch, k) for batch in t.to_batches() for k in range(batch.num_rows)]
+        raw = lambda batch, k, name: column(batch, name)[k].as_buffer()
+        n = sum(raw(*r, "hashes").size for r in rows) // SENT
+        doc, text, h, known = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.uint64), np.empty(n, bool)
+        at = 0
+        for r in rows:
+            counts = np.frombuffer(raw(*r, "counts"), "<u4")
+            end = at + int(counts.sum())
+            doc[at:end] = np.repeat(np.frombuffer(raw(*r, "docs"), np.int64), counts)
+            text[at:end] = np.repeat(np.frombuffer(raw(*r, "texts"), np.int64), counts)
+            h[at:end] = _unpacked(raw(*r, "hashes"))
+            known[at:end] = np.unpackbits(np.frombuffer(raw(*r, "shared"), np.uint8), count=end - at)
+            at = end
         order = np.lexsort((doc, text, h))
         doc, text, h, known = doc[order], text[order], h[order], known[order]
         same = h[1:] == h[:-1]
         group = np.cumsum(np.r_[True, ~same]) - 1
-        n = group[-1] + 1
-        several = np.bincount(group[1:], weights=same & (text[1:] != text[:-1]), minlength=n) + np.bincount(group, weights=known, minlength=n) > 0
+        several = np.zeros(group[-1] + 1, bool)
+        several[group[1:][same & (text[1:] != text[:-1])]] = True
+        several[group[known]] = True
         # of equal texts the smallest id is enough, and what its own run has settled has been told
-        first = np.r_[True, ~(same & (text[1:] == text[:-1]))]
-        i = np.flatnonzero(several[group] & first & ~known)
+        i = np.flatnonzero(several[group] & np.r_[True, ~(same & (text[1:] == text[:-1]))] & ~known)
         i = i[np.argsort(doc[i], kind="stable")]
-        ends = np.flatnonzero(np.r_[True, doc[i][1:] != doc[i][:-1], True]) if len(i) else np.zeros(1, np.int64)
-        return pa.table({"doc_id": pa.array(doc[i[ends[:-1]]], pa.int64()) if len(i) else pa.array([], pa.int64()), "hashes": pa.array([h[i[a:b]].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())})
+        ends = _by_group(doc[i])
+        give_back()
+        return pa.table({"doc_id": pa.array(doc[i[ends[:-1]]], pa.int64()) if len(i) else pa.array([], pa.int64()), "hashes": pa.array([_packed(h[i[a:b]]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())})
 
     met = runs.where("range is not null").groupBy("range").applyInArrow(meet, "doc_id long, hashes binary")
     return met.unionByName(runs.where("range is null").select("doc_id", "hashes"))
@@ -180,7 +214,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _by_key(keys: np.ndarray, spans: np.ndarray) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(keys, kind="stable")
     keys, spans = keys[order], spans[order]
-    ends = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]) if len(keys) else []
+    ends = _by_group(keys)
     for a, b in zip(ends, ends[1:], strict=False):
         yield int(keys[a]), spans[a:b].tobytes()
 
@@ -270,10 +304,10 @@ def _suffix_runs(texts: DataFrame, n_ranges: int) -> DataFrame:
                 ok = _valid(offsets, len(flat))
                 row = np.repeat(np.arange(b - a), np.diff(offsets))[: len(at)]
                 for i in range(a, b):
-                    known = [np.frombuffer(x.as_buffer(), np.uint64) for x in shared[i]]
+                    known = [_unpacked(x.as_buffer()) for x in shared[i]]
                     x, y = offsets[i - a], min(offsets[i - a + 1], len(at))
                     if y > x:
-                        ok[x:y] &= np.isin(h[x:y], np.concatenate(known)) if known else False
+                        ok[x:y] &= np.isin(h[x:y] & _LOW, np.concatenate(known)) if known else False
                 if not ok.any():
                     continue
                 starts = np.flatnonzero(ok & np.r_[True, ~ok[:-1] | (at[1:] != at[:-1])])
@@ -403,6 +437,7 @@ def _merged(runs: DataFrame) -> DataFrame:
         spans = np.zeros(len(i), _SPAN)
         spans["place"], spans["mask"] = get("places", np.int64)[order][i], mask[i]
         out = list(_by_key(get("keys", np.int64)[order][i], spans))
+        give_back()
         return pa.table({"key": pa.array([k for k, _ in out], pa.int64()), "removed": pa.array([b for _, b in out], pa.binary())})
 
     met = runs.where("range is not null").groupBy("range").applyInArrow(meet, "key long, removed binary")
@@ -411,13 +446,10 @@ def _merged(runs: DataFrame) -> DataFrame:
 
 def removed_spans(n: int, blobs: list[bytes]) -> np.ndarray:
     """Maximal removed runs as (start, end) rows."""
-    edge = np.zeros(n + 1, np.int32)
-    for blob in blobs:
-        spans = np.frombuffer(blob, _SPAN)
-        for o in range(WINDOW - GRAM + 1):
-            s = spans["place"][(spans["mask"] >> np.uint32(o)) & np.uint32(1) == 1] - o
-            np.add.at(edge, s, 1)
-            np.add.at(edge, s + WINDOW, -1)
+    spans = np.frombuffer(b"".join(blobs), _SPAN)
+    i, o = np.nonzero(spans["mask"][:, None] >> np.arange(WINDOW - GRAM + 1, dtype=np.uint32) & np.uint32(1))
+    first = spans["place"][i] - o
+    edge = np.bincount(first, minlength=n + 1) - np.bincount(first + WINDOW, minlength=n + 1)
     inside = np.r_[False, np.cumsum(edge)[:n] > 0, False]
     return np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2)
 
@@ -495,24 +527,24 @@ def without_repeats(docs: DataFrame, touched: DataFrame) -> DataFrame:
     lose a part go whole, and n_chars follows. Rows that lose nothing are neither shuffled nor sent to Python."""
     schema = docs.schema
     hit = cut(touched.where("n_removed > 0").groupBy("key").agg(F.first("spans").alias("spans")))
-    keys = hit.select(F.col("key").alias("_key"))
+    keys = hit.select(F.col("key").alias("__llm_key"))
     if hit.count() <= BROADCAST_IDS:
         keys = F.broadcast(keys)
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.lit("row"), F.coalesce(F.col("text"), F.lit(""))))
-    clean = keyed.join(keys, "_key", "left_anti").select(docs.columns)
-    partly = keyed.join(keys, "_key", "left_semi").join(hit.select(F.col("key").alias("_key"), F.col("spans").alias("_spans")), "_key").select(*docs.columns, "_spans")
+    keyed = docs.withColumn("__llm_key", F.xxhash64(F.col("doc_id").cast("long"), F.lit("row"), F.coalesce(F.col("text"), F.lit(""))))
+    clean = keyed.join(keys, "__llm_key", "left_anti").select(docs.columns)
+    partly = keyed.join(keys, "__llm_key", "left_semi").join(hit.select(F.col("key").alias("__llm_key"), F.col("spans").alias("__llm_spans")), "__llm_key").select(*docs.columns, "__llm_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans in zip(column(batch, "text"), column(batch, "_spans").to_pylist(), strict=True):
+            for text, spans in zip(column(batch, "text"), column(batch, "__llm_spans").to_pylist(), strict=True):
                 raw, kept, at = (text.as_py() or "").encode(), [], 0
                 for a, b in zip(spans[::2], spans[1::2], strict=True):
                     kept.append(raw[at:a].decode("utf-8", "ignore"))
                     at = b
                 kept.append(raw[at:].decode("utf-8", "ignore"))
                 texts.append("".join(kept))
-            cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n != "_spans"}
+            cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__llm_spans"}
             cols["text"] = pa.array(texts, pa.string())
             if "n_chars" in cols:
                 cols["n_chars"] = pa.array([len(t) for t in texts], pa.int64()).cast(cols["n_chars"].type)
