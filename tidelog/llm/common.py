@@ -62,6 +62,10 @@ class Scratch(contextlib.AbstractContextManager):
         df.write.parquet(f"{self.root}/{name}", compression="zstd")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def drop(self, name: str) -> None:
+        """Free a table that nothing will read again."""
+        remove(self.spark, f"{self.root}/{name}")
+
     def __exit__(self, *_) -> None:
         remove(self.spark, self.root)
         self.freed.__exit__(*_)

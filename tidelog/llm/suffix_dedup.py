@@ -495,6 +495,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
         long = docs.where(f"doc_id is not null and n_bytes >= {WINDOW}")
         told = scratch.keep(_shared_anchors(scratch.keep(_anchor_runs(long, n_ranges), "anchors")).groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes")), "told")
+        scratch.drop("anchors")
         # one row a distinct text and id, without copies
         going = scratch.keep(whole.where("not copy").select("doc_id", "key").distinct().join(told.select("doc_id"), "doc_id", "left_semi"), "going")
         picked = going.select("key")
@@ -502,6 +503,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             picked = F.broadcast(picked)
         texts = long.select("doc_id", "key", F.col("text").cast("binary").alias("text")).join(picked, "key", "left_semi")
         texts = scratch.keep(texts.join(told, "doc_id"), "texts")
+        scratch.drop("told")
         runs = scratch.keep(_suffix_runs(texts, n_ranges), "runs")
         spans = _merged(runs).groupBy("key").agg(F.collect_list("removed").alias("removed"))
         # equal rows share a key
