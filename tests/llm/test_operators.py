@@ -226,6 +226,16 @@ def test_no_near_duplicates(none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
+def test_nested_sets_around_the_sketch_size(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(40):
+        words = [f"n{i}x{rng.randrange(10**9)}" for _ in range(43)]
+        rows += [(2 * i, " ".join(words[:35])), (2 * i + 1, " ".join(words[: 42 + i % 2]))]  # 32 shingles within 39 or 40
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got(out, "doc_id", "n_shingles", "component_id", "kept") == Counter(brute.near(rows))
+
+
 def test_close_pairs_find_what_is_close(monkeypatch):
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 1 << 60, 3000, dtype=np.uint64)

@@ -5,7 +5,7 @@
 2. Inverted lists of retained values: of a pair with Jaccard j, each of the union's K least values is in both with
    chance j, so at 0.8 no value in common has chance 0.2 ** 32. Lists up to LIST classes give their pairs and the
    number of lists that a pair shares; a pair needs as many as its unfrequented values less SLACK (of 32 values at
-   0.8, over 20 differ once in 10 ** 7).
+   0.8, over 20 differ once in 10 ** 7), or, if one set is whole in its sketch, less what they can differ by at most.
 3. Values in longer lists are frequent. Classes with more than SLACK other values are found by those. For the rest
    ("dense" classes: little but frequent values), each long list first links its classes with two leaders: the class of
    the most frequent values, which is what near copies were made from, and the least; lists that still hold several
@@ -220,10 +220,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) ->
         found = scratch.keep(found.withColumn("others", F.least(F.lit(K), F.col("n")) - F.size("hot")), "lists")
 
         side = found.select("x", "n", "others", F.explode("cold").alias("v"))
-        slack = F.least(F.lit(SLACK), F.when(F.col("na") <= K, F.floor(F.col("na") * (100 - percent) / 100)).otherwise(SLACK))
+        # the smaller set, if whole, misses its share of the other and what the other's sketch leaves out
+        less, more = F.least("na", "nb"), F.greatest("na", "nb")
+        slack = F.when(less <= K, F.floor(less * (100 - percent) / 100) + F.greatest(more - K, F.lit(0))).otherwise(SLACK)
         pairs = (
             side.toDF("a", "na", "oa", "v").join(side.toDF("b", "nb", "ob", "v"), "v").where((F.col("a") < F.col("b")) & _similar_sizes(percent))
-            .groupBy("a", "b", "na", "oa", "ob").agg(F.count("*").alias("shared"))
+            .groupBy("a", "b", "na", "nb", "oa", "ob").agg(F.count("*").alias("shared"))
             .where(F.col("shared") >= F.greatest(F.lit(1), F.least("oa", "ob") - slack))
         )
         dense = found.where(F.size("hot") > 0).where(F.col("others") <= SLACK).select("x", "n", "fame", F.explode(F.slice(F.array_sort("hot"), 1, FOLLOWED)).alias("v"))
