@@ -236,6 +236,31 @@ def test_nested_sets_around_the_sketch_size(spark):
     assert got(out, "doc_id", "n_shingles", "component_id", "kept") == Counter(brute.near(rows))
 
 
+def grown(rng, words, n, low):
+    """words and n more, chosen so that each new shingle's hash is low or not."""
+    words = list(words)
+    while n:
+        w = f"g{rng.randrange(10**9)}"
+        flat = np.frombuffer(" ".join([*words[-3:], w]).encode(), np.uint8)
+        (h,) = next(near_dup.shingle_sets(flat, np.array([0, len(flat)]), 4))
+        if (int(h) < 1 << 60) == low:
+            words.append(w)
+            n -= 1
+    return words
+
+
+def test_frequent_values_beyond_the_least(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "LIST", 1)
+    rng = random.Random(12)
+    small = grown(rng, grown(rng, ["a", "b", "c"], 1, False), 31, False)
+    large = grown(rng, small, 8, True)  # its 8 least values are not in small
+    texts = [small, large] + [large[i : i + 4] for i in range(32, 40)] + [small[i : i + 4] for i in range(32)]
+    other = [f"o{i}" for i in range(60)]  # a pair of its own, found at once
+    rows = list(enumerate(" ".join(t) for t in [*texts, other, [*other, "end"]]))
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got(out, "doc_id", "n_shingles", "component_id", "kept") == Counter(brute.near(rows))
+
+
 def test_close_pairs_find_what_is_close(monkeypatch):
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 1 << 60, 3000, dtype=np.uint64)

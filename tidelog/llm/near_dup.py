@@ -7,10 +7,10 @@
    number of lists that a pair shares; a pair needs as many as its unfrequented values less SLACK (of 32 values at
    0.8, over 20 differ once in 10 ** 7), or, if one set is whole in its sketch, less what they can differ by at most.
 3. Values in longer lists are frequent. Classes with more than SLACK other values are found by those. For the rest
-   ("dense" classes: little but frequent values), each long list first links its classes with two leaders: the class of
-   the most frequent values, which is what near copies were made from, and the least; lists that still hold several
-   components afterwards are compared in blocks of bounded size, between classes of different components only, on sets
-   up to WIDE values and on as many of larger ones.
+   ("dense" classes: little but frequent values), each of their long lists first links its classes with two leaders:
+   the class of the most frequent values, which is what near copies were made from, and the least; lists that still
+   hold several components afterwards are compared in blocks of bounded size, between classes of different components
+   only, on sets up to WIDE values and on as many of larger ones.
 4. Union sketches estimate the Jaccard of candidates and drop those under FLOOR; the rest is verified on whole sets:
    first the best candidate of each class, then, once components are known, what would still join two.
 
@@ -38,8 +38,7 @@ K = 32
 LIST = 32
 SLACK = 20
 FLOOR = 0.4
-#: Frequent values of a dense class that are followed, and rows of a block of a long list.
-FOLLOWED = 8
+#: Rows of a block of a long list.
 BLOCK = 512
 #: Values by which the classes of a block are compared.
 WIDE = 1024
@@ -228,7 +227,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) ->
             .groupBy("a", "b", "na", "nb", "oa", "ob").agg(F.count("*").alias("shared"))
             .where(F.col("shared") >= F.greatest(F.lit(1), F.least("oa", "ob") - slack))
         )
-        dense = found.where(F.size("hot") > 0).where(F.col("others") <= SLACK).select("x", "n", "fame", F.explode(F.slice(F.array_sort("hot"), 1, FOLLOWED)).alias("v"))
+        dense = found.where(F.size("hot") > 0).where(F.col("others") <= SLACK).select("x", "n", "fame", F.explode("hot").alias("v"))
         # what copies were made from holds the group's frequent values and none of its edits
         leaders = dense.groupBy("v").agg(F.max_by("x", F.struct("fame", "x")).alias("l1"), F.min("x").alias("l2"))
         stars = dense.join(leaders, "v").select("x", F.explode(F.array("l1", "l2")).alias("l")).where("x <> l").select(F.least("x", "l").alias("a"), F.greatest("x", "l").alias("b"))
