@@ -261,6 +261,24 @@ def test_frequent_values_beyond_the_least(spark, monkeypatch):
     assert got(out, "doc_id", "n_shingles", "component_id", "kept") == Counter(brute.near(rows))
 
 
+def test_blocks_without_any_candidate(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "LIST", 2)
+
+    def digest(words):
+        flat = np.frombuffer(" ".join(words).encode(), np.uint8)
+        return near_dup._digest(next(near_dup.shingle_sets(flat, np.array([0, len(flat)]), 4)))[0]
+
+    common = [f"c{i}" for i in range(21)]
+    pair = [[*common, "p", "q"], [*common, "r", "s"]]  # 18 of 22 shingles in both
+    # leads every list of the pair, by its values and as the least, and is too large for either
+    tail = next(t for k in range(1000) if digest([*common, *(t := [f"t{k}x{i}" for i in range(14)])]) < min(map(digest, pair)))
+    lead = [*common, *tail]
+    rows = list(enumerate(" ".join(t) for t in [*pair, lead, *(lead[i : i + 4] for i in range(18, 32))]))
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got(out, "doc_id", "n_shingles", "component_id", "kept") == Counter(brute.near(rows))
+    assert dict(got(out.where("doc_id < 3"), "component_id")) == {(0,): 2, (2,): 1}
+
+
 def test_close_pairs_find_what_is_close(monkeypatch):
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 1 << 60, 3000, dtype=np.uint64)

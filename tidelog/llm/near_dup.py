@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) ->
         likely = scratch.keep(_estimated(pairs.select("a", "b").unionByName(stars), classes, percent), "likely")
         ends = likely.select(F.col("a").alias("x")).unionByName(likely.select(F.col("b").alias("x"))).distinct()
         edges = []
-        if not likely.isEmpty():
+        if not (likely.isEmpty() and dense.isEmpty()):
             rows = scratch.keep(dense.select("x", "n", "v"), "dense")
             ends = ends.unionByName(rows.select("x")).distinct().join(classes.select("x", "rep"), "x")
             ends = scratch.keep(ends.select("x", "rep"), "ends")
