@@ -183,6 +183,19 @@ def test_stored_documents(docs, rows, none):
     assert sharding.stored(none).count() == 0
 
 
+def test_stored_documents_keep_all_columns(docs, monkeypatch):
+    seen, compact = [], sharding.ShardStore.compact
+
+    def compacted(store):
+        merges = compact(store)
+        seen.append(got(store.read(), *docs.columns))
+        return merges
+
+    monkeypatch.setattr(sharding.ShardStore, "compact", compacted)
+    sharding.stored(docs)
+    assert seen == [got(docs, *docs.columns)]
+
+
 # 4
 
 URLS = ["http://a.net/", "http://net/x", "http://net", "https://m.EXAMPLE.net/en/1?q#f", "https://example.net/EN/", "x://example.com/de/", "x://notexample.com/de/", "ftp://a.example.org/fr/#", "//nohost", "", None, "a://b://c.net/d", "http://xexample.net/en/", "http://example.net?x/en/", "http://h.com/p\nq?x", "http://big.casino.com/", "http://casinotown.com/", "http://ex.org/fr", "http://ÀB.net/", "http://user@net/"]

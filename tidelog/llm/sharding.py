@@ -190,14 +190,14 @@ ARRIVALS = 16
 
 
 def stored(docs: DataFrame, arrivals: int = ARRIVALS, target: int = TARGET) -> DataFrame:
-    """Store docs as arrivals by their source, compact, and read everything back through the last manifest: doc_id,
-    n_bytes, text_crc32, run, tier, merged (arrivals behind the run) of every row."""
+    """Store docs, all columns, as arrivals by their source, compact, and read every row back through the last manifest:
+    doc_id, n_bytes, text_crc32, run, tier, merged (arrivals behind the run)."""
     spark = docs.sparkSession
     root = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     store = ShardStore(spark, root, target)
     try:
         # 16 arrivals of unlike size; each task of the scan writes its own small shards
-        store.append(docs.select("doc_id", "text", F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(arrivals)).alias("_arrival")), "_arrival")
+        store.append(docs.withColumn("_arrival", F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(arrivals))), "_arrival")
         store.compact()
         runs = store.runs()
         rows = store.read(numbered=True) if runs else docs.select("doc_id", "text", F.lit(0).cast("long").alias("_run"), F.lit(0).alias("_tier")).limit(0)
