@@ -395,12 +395,14 @@ def test_non_negative_risk_separates():
 # 9
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_repeats(docs, rows, monkeypatch, small):
-    if small:
-        monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 4096)
-        monkeypatch.setattr(suffix_dedup, "BROADCAST_IDS", 0)
-    out = suffix_dedup.deduplicate(docs).cache()
+@pytest.mark.parametrize("sizes", [{}, {"range_bytes": 4096, "range_entries": 40, "hot": 3}, {"fan": 3, "range_bytes": 4096, "range_entries": 25}])
+def test_repeats(docs, rows, monkeypatch, sizes):
+    """Also with many ranges of hashes and suffixes, and with both dealt in two steps."""
+    if sizes:
+        monkeypatch.setattr(suffix_dedup, "BROADCAST_IDS", 0 if "fan" in sizes else 1_000_000)
+        monkeypatch.setattr(suffix_dedup, "RUN_ENTRIES", 150)
+        monkeypatch.setattr(suffix_dedup, "RUN_ANCHORS", 300)
+    out = suffix_dedup.deduplicate(docs, **sizes).cache()
     plain = brute.repeats(rows)
     shown = out.select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("int").alias("s"), "kept_sha256")
     assert got(shown, *shown.columns) == Counter(r[:5] for r in plain)
@@ -410,6 +412,24 @@ def test_repeats(docs, rows, monkeypatch, small):
     assert left.where("n_chars <> length(text)").count() == 0
 
 
+@pytest.mark.parametrize("fan", [4096, 4])
+def test_repeats_of_one_line_in_most_documents(spark, monkeypatch, fan):
+    """A suffix that fills many ranges, whose windows differ on the left, on the right or not at all, with zero bytes too."""
+    monkeypatch.setattr(suffix_dedup, "RUN_ENTRIES", 60)
+    rng = random.Random(9)
+    line = "The same line stands in nearly every document of this table, word by word."
+    tails = ["\x00\x00\x00", "\x00", "", " end", " and so on"]
+    rows = []
+    for i in range(240):
+        words = [f"{rng.randrange(40)}" for _ in range(rng.randrange(0, 12))]
+        more = line[: rng.randrange(45, len(line) + 1)] + rng.choice(tails)
+        rows.append((rng.randrange(200), " ".join(words) + line[rng.randrange(0, 20) :] + rng.choice(tails) + " ".join(words) + more * rng.randrange(0, 3)))
+    table = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    out = suffix_dedup.deduplicate(table, fan=fan, range_entries=20)
+    shown = out.select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("int").alias("s"), "kept_sha256")
+    assert got(shown, *shown.columns) == Counter(r[:5] for r in brute.repeats(rows))
+
+
 def test_repeats_of_nothing(none):
     assert suffix_dedup.deduplicate(none).count() == 0
 

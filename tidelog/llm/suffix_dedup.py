@@ -3,17 +3,23 @@
 A byte goes if a WINDOW-byte string over it also starts in a document with a smaller id. Equal windows have equal
 anchors: the least hash of the GRAM-byte grams inside, leftmost first. So windows are handled by their anchors.
 
-1. Anchors' hashes of all texts meet by hash range. Within a run of documents each hash is sent once; what the run
-   alone shows to be in two different texts is settled there. Only windows with an anchor in two texts go on; equal
-   whole texts count once (the smallest id stands for all and the others lose everything).
+1. Anchors' hashes of all texts meet by ranges of the hash, mixed anew (as least values they crowd at the low end).
+   Within a run of documents each hash is sent once; what the run alone shows to be in two different texts is settled
+   there. Only windows with an anchor in two texts go on; equal whole texts count once (the smallest id stands for
+   all and the others lose everything).
 2. Windows in a row with one anchor form an entry: the suffix from the anchor (at most WINDOW bytes), and the bytes
-   to its left. Each run sorts its entries and sends them front-coded (length of the prefix shared with the entry
-   before, and the rest). Entries equal to one of a smaller id in the same run are settled there and not sent.
-3. Every hash range merges its runs with a loser tree whose nodes keep the common prefix with the last winner: the
-   longer one wins unread, and only ties look at bytes. The merged order and its common prefixes number the suffixes
-   of every depth; with the hashed left bytes they name each window, and the smallest id of a name keeps it.
-
-No step holds more than a run, or one hash range of settled runs; a hot anchor reaches a range once per run.
+   to its left. Each run sorts its entries, cuts them at splitters and sends them front-coded (length of the prefix
+   shared with the entry before, and the rest). Entries equal to one of a smaller id in the same run are settled
+   there and not sent. Splitters come from a bounded sample of texts and order entries down to the id, so a suffix
+   that fills a range is cut as any other.
+3. Every range of suffixes merges its runs with a loser tree whose nodes keep the common prefix with the last winner:
+   the longer one wins unread, and only ties look at bytes. The merged order and its common prefixes number the
+   suffixes of every depth; with the order of the left bytes they name each window, and the smallest id of a name
+   keeps it. A name whose suffix also begins a range's splitter may go on in the next range: what is left of it there
+   meets by a 128-bit digest of the window, one id a range.
+
+No step holds more than a run or one range. Hashes and runs are dealt in two steps where one would cut them into
+more than FAN pieces, so pieces stay long at any size.
 
 Defined results: null text is empty; null doc_ids are returned untouched and remove nothing; rows that repeat a doc_id
 do not remove each other's bytes; equal rows get equal results; texts under WINDOW bytes stay whole; an empty table
@@ -27,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,15 +42,21 @@ from .words import mixed, powers, prefix_hash
 
 WINDOW = 50
 GRAM = 20
-#: Bytes of text whose anchors form a run, texts of about this many bytes to a hash range, and entries of a run.
-RUN_ANCHORS = 500_000
-RANGE_BYTES = 16 << 20
+#: Anchors of a run, texts of about this many bytes to a hash range, entries of a run and (about) of a range of suffixes.
+RUN_ANCHORS = 400_000
+RANGE_BYTES = 8 << 20
 RUN_ENTRIES = 100_000
+RANGE_ENTRIES = 60_000
+#: Most pieces that a run is cut into at once, and bytes of text that are sampled for splitters.
+FAN = 4096
+SAMPLE_BYTES = 32 << 20
 #: Texts are read in overlapping segments whose arrays stay in the cache.
 SEGMENT = 96 << 10
 _PLACES = 24  # bits for a place in a segment beside the hash
 #: Ids (8 bytes each) that may be broadcast to pick the texts with shared anchors.
 BROADCAST_IDS = 1_000_000
+#: Exact copies of one text from which a group is broadcast instead of joined.
+HOT_COPIES = 10_000
 
 
 def anchors(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,10 +91,12 @@ def _valid(offsets: np.ndarray, n: int) -> np.ndarray:
 
 
 def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    """Anchors are the least of many hashes, so their own values would all fall into the first ranges."""
+    return ((mixed(hashes + np.uint64(0xA5A5)) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-_ANCHORS = pa.schema([("range", pa.int32()), ("doc_id", pa.int64()), ("docs", pa.binary()), ("texts", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("shared", pa.binary())])
+_ANCHORS = pa.schema([("range", pa.int64()), ("doc_id", pa.int64()), ("docs", pa.binary()), ("texts", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("shared", pa.binary())])
+_ANCHORS_SQL = "range long, doc_id long, docs binary, texts binary, counts binary, hashes binary, shared binary"
 #: Bytes of an anchor's hash that are sent; a false match only lets a window go on to the exact merge.
 SENT = 6
 _LOW = np.uint64((1 << 8 * SENT) - 1)
@@ -102,44 +117,82 @@ def _by_group(of: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]) if len(of) else np.zeros(1, np.int64)
 
 
-def _anchor_runs(docs: DataFrame, n_ranges: int) -> DataFrame:
-    """Rows of two kinds: of a run's anchors in a range, one entry a hash, laid out by document (docs, texts, counts;
-    hashes, shared); and (doc_id, hashes) with anchors that the run alone shows to be shared."""
-
-    def flush(ids: list, texts: list, rows: list, hashes: list) -> Iterator[pa.RecordBatch]:
-        doc, text, row, h = np.concatenate(ids), np.concatenate(texts), np.concatenate(rows), np.concatenate(hashes)
-        order = np.lexsort((doc[row], text[row], h))
-        row, h = row[order], h[order]
-        new = np.r_[True, h[1:] != h[:-1]]
-        group = np.cumsum(new) - 1
-        other = np.r_[False, ~new[1:] & (text[row[1:]] != text[row[:-1]])]
-        shared = np.bincount(group, weights=other, minlength=group[-1] + 1) > 0
-        first = np.flatnonzero(new)
+class Anchors:
+    """One entry a text and hash: document, text's hash, (low bytes of the) hash, and whether the document has been told."""
+
+    def __init__(self, doc: np.ndarray, text: np.ndarray, h: np.ndarray, told: np.ndarray):
+        self.doc, self.text, self.h, self.told = doc, text, h, told
+
+    @staticmethod
+    def read(rows: list[tuple[pa.RecordBatch, int]]) -> Anchors:
+        raw = lambda batch, k, name: column(batch, name)[k].as_buffer()
+        n = sum(raw(*r, "hashes").size for r in rows) // SENT
+        out = Anchors(np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.uint64), np.empty(n, bool))
+        at = 0
+        for r in rows:
+            counts = np.frombuffer(raw(*r, "counts"), "<u4")
+            end = at + int(counts.sum())
+            out.doc[at:end] = np.repeat(np.frombuffer(raw(*r, "docs"), np.int64), counts)
+            out.text[at:end] = np.repeat(np.frombuffer(raw(*r, "texts"), np.int64), counts)
+            out.h[at:end] = _unpacked(raw(*r, "hashes"))
+            out.told[at:end] = np.unpackbits(np.frombuffer(raw(*r, "shared"), np.uint8), count=end - at)
+            at = end
+        return out
+
+    def met(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorts by hash; places of the entries to tell (their hash is in two texts), and of one entry a hash. A hash that
+        any document has been told of is shared; what stays of it counts as told."""
+        order = np.lexsort((~self.told, self.h))
+        self.doc, self.text, self.h, self.told = self.doc[order], self.text[order], self.h[order], self.told[order]
+        first = np.flatnonzero(np.r_[True, self.h[1:] != self.h[:-1]]) if len(order) else np.zeros(0, np.int64)
+        if not len(first):
+            return first, first
+        least, most = np.minimum.reduceat(self.text, first), np.maximum.reduceat(self.text, first)
+        shared = (least != most) | self.told[first]
+        several = np.repeat(shared, np.diff(np.r_[first, len(order)]))
+        tell = np.flatnonzero(several & ~self.told)
+        self.told[first] |= shared
+        return tell, first
+
+    def told_rows(self, i: np.ndarray) -> tuple[list[int], list[bytes]]:
+        """Documents and their hashes at these places."""
+        i = i[np.argsort(self.doc[i], kind="stable")]
+        ends = _by_group(self.doc[i])
+        return [int(self.doc[i[a]]) for a in ends[:-1]], [_packed(self.h[i[a:b]]) for a, b in zip(ends, ends[1:], strict=False)]
+
+    def dealt(self, n_ranges: int) -> pa.RecordBatch:
+        """Rows of two kinds: one entry a hash by range, laid out by document; and what this run alone can tell."""
+        tell, first = self.met()
         out: list[list] = [[] for _ in _ANCHORS]
 
         def add(*values) -> None:
             for c, v in zip(out, values, strict=True):
                 c.append(v)
 
-        cuts = np.searchsorted(_ranges(h[first], n_ranges), np.arange(n_ranges + 1))
-        for k in range(n_ranges):
-            a, b = cuts[k], cuts[k + 1]
-            if a == b:
-                continue
-            by = np.argsort(row[first[a:b]], kind="stable")
-            i = first[a:b][by]
-            ends = _by_group(row[i])
-            own = row[i[ends[:-1]]]
-            add(k, None, doc[own].tobytes(), text[own].tobytes(), np.diff(ends).astype("<u4").tobytes(), _packed(h[i]), np.packbits(shared[a:b][by]).tobytes())
-        i = np.flatnonzero(shared[group])
-        i = i[np.argsort(row[i], kind="stable")]
-        ends = _by_group(row[i])
-        for a, b in zip(ends, ends[1:], strict=False):
-            add(None, int(doc[row[i[a]]]), None, None, None, _packed(h[i[a:b]]), None)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ANCHORS, strict=True)], schema=_ANCHORS)
+        rng = _ranges(self.h[first] & _LOW, n_ranges)
+        # by range, then by document
+        order = np.lexsort((self.text[first], self.doc[first], rng))
+        first, rng = first[order], rng[order]
+        cuts = _by_group(rng)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            i = first[a:b]
+            ends = np.flatnonzero(np.r_[True, (self.doc[i][1:] != self.doc[i][:-1]) | (self.text[i][1:] != self.text[i][:-1]), True])
+            own = i[ends[:-1]]
+            add(int(rng[a]), None, self.doc[own].tobytes(), self.text[own].tobytes(), np.diff(ends).astype("<u4").tobytes(), _packed(self.h[i]), np.packbits(self.told[i]).tobytes())
+        for doc, hashes in zip(*self.told_rows(tell), strict=True):
+            add(-1 - doc % n_ranges, doc, None, None, None, hashes, None)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ANCHORS, strict=True)], schema=_ANCHORS)
+
+
+def _anchor_runs(docs: DataFrame, n_ranges: int) -> DataFrame:
+    """Anchors of runs of documents, dealt by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, rows, hashes, base, held = [], [], [], [], 0, 0
+        parts, held = [], 0
+
+        def joined() -> Anchors:
+            return Anchors(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+
         for batch in batches:
             for a, b, flat, offsets in text_chunks(batch):
                 at, h = anchors(flat)
@@ -151,57 +204,60 @@ def _anchor_runs(docs: DataFrame, n_ranges: int) -> DataFrame:
                 order = np.lexsort((h[s], row))
                 s, row = s[order], row[order]
                 keep = np.r_[True, (row[1:] != row[:-1]) | (h[s][1:] != h[s][:-1])] if len(s) else np.zeros(0, bool)
-                ids.append(np.asarray(column(batch, "doc_id").slice(a, b - a)))
-                texts.append(np.asarray(column(batch, "text_hash").slice(a, b - a)))
-                rows.append((row[keep] + base).astype(np.int32))
-                hashes.append(h[s[keep]])
-                base += b - a
-                held += int(keep.sum())
+                ids, texts = (np.asarray(column(batch, c).slice(a, b - a)) for c in ("doc_id", "text_hash"))
+                parts.append((ids[row[keep]], texts[row[keep]], h[s[keep]] & _LOW, np.zeros(int(keep.sum()), bool)))
+                held += len(parts[-1][0])
                 if held >= RUN_ANCHORS:
-                    yield from flush(ids, texts, rows, hashes)
-                    ids, texts, rows, hashes, base, held = [], [], [], [], 0, 0
+                    yield joined().dealt(n_ranges)
+                    parts, held = [], 0
+        if held:
+            yield joined().dealt(n_ranges)
+
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, _ANCHORS_SQL)
+
+
+def _dealt_again(runs: DataFrame, n_ranges: int) -> DataFrame:
+    """Runs of few ranges, gathered by range and dealt into n_ranges (a multiple): pieces are as long as before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            aside = pc.less(column(batch, "range"), 0)
+            if pc.any(aside).as_py():
+                yield batch.filter(aside)
+            for k in np.flatnonzero(~np.asarray(aside)):
+                rows.append((batch, int(k)))
+                held += column(batch, "hashes")[int(k)].as_buffer().size // SENT
+                if held >= RUN_ANCHORS:
+                    yield Anchors.read(rows).dealt(n_ranges)
+                    rows, held = [], 0
         if held:
-            yield from flush(ids, texts, rows, hashes)
+            yield Anchors.read(rows).dealt(n_ranges)
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "range int, doc_id long, docs binary, texts binary, counts binary, hashes binary, shared binary")
+    return runs.repartition("range").sortWithinPartitions("range").mapInArrow(run, _ANCHORS_SQL)
 
 
-def _shared_anchors(runs: DataFrame) -> DataFrame:
+def _shared_anchors(docs: DataFrame, n_ranges: int, fan: int) -> DataFrame:
     """(doc_id, hashes) of the anchors that two different texts hold."""
+    if n_ranges > fan:
+        runs = _dealt_again(_anchor_runs(docs, fan), -(-n_ranges // fan) * fan)
+    else:
+        runs = _anchor_runs(docs, n_ranges)
 
     def meet(t: pa.Table) -> pa.Table:
-        rows = [(batch, k) for batch in t.to_batches() for k in range(batch.num_rows)]
-        raw = lambda batch, k, name: column(batch, name)[k].as_buffer()
-        n = sum(raw(*r, "hashes").size for r in rows) // SENT
-        doc, text, h, known = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.uint64), np.empty(n, bool)
-        at = 0
-        for r in rows:
-            counts = np.frombuffer(raw(*r, "counts"), "<u4")
-            end = at + int(counts.sum())
-            doc[at:end] = np.repeat(np.frombuffer(raw(*r, "docs"), np.int64), counts)
-            text[at:end] = np.repeat(np.frombuffer(raw(*r, "texts"), np.int64), counts)
-            h[at:end] = _unpacked(raw(*r, "hashes"))
-            known[at:end] = np.unpackbits(np.frombuffer(raw(*r, "shared"), np.uint8), count=end - at)
-            at = end
-        order = np.lexsort((doc, text, h))
-        doc, text, h, known = doc[order], text[order], h[order], known[order]
-        same = h[1:] == h[:-1]
-        group = np.cumsum(np.r_[True, ~same]) - 1
-        several = np.zeros(group[-1] + 1, bool)
-        several[group[1:][same & (text[1:] != text[:-1])]] = True
-        several[group[known]] = True
-        # of equal texts the smallest id is enough, and what its own run has settled has been told
-        i = np.flatnonzero(several[group] & np.r_[True, ~(same & (text[1:] == text[:-1]))] & ~known)
-        i = i[np.argsort(doc[i], kind="stable")]
-        ends = _by_group(doc[i])
+        if t["range"][0].as_py() < 0:
+            return t.select(["doc_id", "hashes"])
+        found = Anchors.read([(batch, k) for batch in t.to_batches() for k in range(batch.num_rows)])
+        tell, _ = found.met()
+        ids, hashes = found.told_rows(tell)
         give_back()
-        return pa.table({"doc_id": pa.array(doc[i[ends[:-1]]], pa.int64()) if len(i) else pa.array([], pa.int64()), "hashes": pa.array([_packed(h[i[a:b]]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())})
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "hashes": pa.array(hashes, pa.binary())})
 
-    met = runs.where("range is not null").groupBy("range").applyInArrow(meet, "doc_id long, hashes binary")
-    return met.unionByName(runs.where("range is null").select("doc_id", "hashes"))
+    return runs.groupBy("range").applyInArrow(meet, "doc_id long, hashes binary")
 
 
-_RUNS = pa.schema([("range", pa.int32()), ("key", pa.int64()), ("shared", pa.binary()), ("size", pa.binary()), ("rest", pa.binary()), ("left_size", pa.binary()), ("left", pa.binary()), ("docs", pa.binary()), ("keys", pa.binary()), ("places", pa.binary()), ("removed", pa.binary())])
+_RUNS = pa.schema([("range", pa.int64()), *((c, pa.binary()) for c in ("low", "high", "shared", "size", "rest", "left_size", "left", "docs", "keys", "places")), ("doc_id", pa.int64()), ("key", pa.int64()), ("removed", pa.binary())])
+_RUNS_SQL = "range long, low binary, high binary, shared binary, size binary, rest binary, left_size binary, left binary, docs binary, keys binary, places binary, doc_id long, key long, removed binary"
 _SPAN = np.dtype([("place", "<i8"), ("mask", "<u4")])
 
 
@@ -211,19 +267,19 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differs.any(1), differs.argmax(1), a.shape[1])
 
 
-def _by_key(keys: np.ndarray, spans: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(keys, kind="stable")
-    keys, spans = keys[order], spans[order]
-    ends = _by_group(keys)
+def _by_row(doc: np.ndarray, key: np.ndarray, spans: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    order = np.lexsort((key, doc))
+    doc, key, spans = doc[order], key[order], spans[order]
+    ends = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]), True]) if len(doc) else np.zeros(1, np.int64)
     for a, b in zip(ends, ends[1:], strict=False):
-        yield int(keys[a]), spans[a:b].tobytes()
+        yield int(doc[a]), int(key[a]), spans[a:b].tobytes()
 
 
 class Entries:
     """Entries of a run as arrays: right (WINDOW bytes from the anchor, zeros after size), left (bytes before, nearest
-    first, zeros after left_size), document, row key, the anchor's place and its hash."""
+    first, zeros after left_size), document, row key and the anchor's place."""
 
-    def __init__(self, flat: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray, doc: np.ndarray, key: np.ndarray, base: np.ndarray, h: np.ndarray):
+    def __init__(self, flat: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray, doc: np.ndarray, key: np.ndarray, base: np.ndarray):
         reach = WINDOW - GRAM
         self.size, self.left_size = (last + WINDOW - at).astype(np.uint8), (at - first).astype(np.uint8)
         steps = np.arange(WINDOW)
@@ -231,9 +287,9 @@ class Entries:
         self.right = np.where(steps < self.size[:, None], padded[at[:, None] + reach + steps], 0).astype(np.uint8)
         back = np.arange(reach)
         self.left = np.where(back < self.left_size[:, None], padded[at[:, None] + reach - 1 - back], 0).astype(np.uint8)
-        self.doc, self.key, self.place, self.hash = doc, key, at - base, h
+        self.doc, self.key, self.place = doc, key, at - base
 
-    FIELDS = ("size", "left_size", "right", "left", "doc", "key", "place", "hash")
+    FIELDS = ("size", "left_size", "right", "left", "doc", "key", "place")
 
     @staticmethod
     def joined(parts: list[Entries]) -> Entries:
@@ -254,48 +310,64 @@ def _as_words(m: np.ndarray) -> list[np.ndarray]:
     return list(np.ascontiguousarray(np.pad(m, ((0, 0), (0, wide - m.shape[1])))).view(">u8").astype(np.uint64).T)
 
 
-def _sorted_runs(e: Entries, n_ranges: int) -> Iterator[tuple]:
-    """Front-coded runs of e by range, and what e alone settles."""
-    rng = _ranges(e.hash, n_ranges)
-    order = np.lexsort((e.doc, e.left_size, *_as_words(e.left)[::-1], e.size, *_as_words(e.right)[::-1], rng))
-    e, rng = e.taken(order), rng[order]
-    same = np.r_[False, (e.right[1:] == e.right[:-1]).all(1) & (e.left[1:] == e.left[:-1]).all(1) & (e.size[1:] == e.size[:-1]) & (e.left_size[1:] == e.left_size[:-1]) & (rng[1:] == rng[:-1])]
-    group = np.cumsum(~same) - 1
-    smallest = e.doc[np.flatnonzero(~same)][group]
+#: Bytes of an entry's place in the order: right, size, left, left_size, document.
+PLACE = WINDOW + 1 + WINDOW - GRAM + 1 + 8
+
+
+def _places(e: Entries) -> np.ndarray:
+    """Entries' places in the order, as strings of PLACE bytes."""
+    doc = (e.doc.astype(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(np.concatenate([e.right, e.size[:, None], e.left, e.left_size[:, None], doc], 1)).view(f"S{PLACE}").ravel()
+
+
+def _in_order(e: Entries) -> Entries:
+    return e.taken(np.lexsort((e.doc, e.left_size, *_as_words(e.left)[::-1], e.size, *_as_words(e.right)[::-1])))
+
+
+def _settled(e: Entries) -> tuple[Entries, list[tuple]]:
+    """e, in order, without entries equal to one of a smaller id, and those as spans."""
+    same = np.r_[False, (e.right[1:] == e.right[:-1]).all(1) & (e.left[1:] == e.left[:-1]).all(1) & (e.size[1:] == e.size[:-1]) & (e.left_size[1:] == e.left_size[:-1])]
+    smallest = e.doc[np.flatnonzero(~same)][np.cumsum(~same) - 1]
     gone = e.doc > smallest
-    if gone.any():
-        i = np.flatnonzero(gone)
-        spans = np.zeros(len(i), _SPAN)
-        spans["place"] = e.place[i]
-        low = np.maximum(0, WINDOW - e.size[i].astype(np.int64))  # offsets (anchor - window start) low..left_size
-        high = e.left_size[i].astype(np.int64)
-        spans["mask"] = ((1 << (high + 1)) - (1 << low)).astype(np.uint32)
-        for key, blob in _by_key(e.key[i], spans):
-            yield (None, key, None, None, None, None, None, None, None, None, blob)
-    e, rng = e.taken(~gone), rng[~gone]
-    cuts = np.searchsorted(rng, np.arange(n_ranges + 1))
-    for k in range(n_ranges):
-        a, b = cuts[k], cuts[k + 1]
-        if a == b:
-            continue
-        p = e.taken(slice(a, b))
+    if not gone.any():
+        return e, []
+    i = np.flatnonzero(gone)
+    spans = np.zeros(len(i), _SPAN)
+    spans["place"] = e.place[i]
+    low = np.maximum(0, WINDOW - e.size[i].astype(np.int64))  # offsets (anchor - window start) low..left_size
+    high = e.left_size[i].astype(np.int64)
+    spans["mask"] = ((1 << (high + 1)) - (1 << low)).astype(np.uint32)
+    return e.taken(~gone), list(_by_row(e.doc[i], e.key[i], spans))
+
+
+def _cut_at(e: Entries, splitters: np.ndarray, base: int = 0, low: bytes = b"", high: bytes = b"") -> Iterator[tuple]:
+    """Front-coded pieces of e, in order, each with the splitters around it."""
+    cuts = np.r_[0, np.searchsorted(_places(e), splitters), len(e.doc)]
+    steps, back = np.arange(WINDOW), np.arange(WINDOW - GRAM)
+    whole = [x.ljust(PLACE, b"\0") for x in splitters.tolist()]
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        p = e.taken(slice(cuts[k], cuts[k + 1]))
         lcp = np.r_[0, _common(p.right[1:], p.right[:-1])].astype(np.uint8)
-        steps = np.arange(WINDOW)
         rest = p.right[(steps >= lcp[:, None]) & (steps < p.size[:, None])]
-        left = p.left[np.arange(p.left.shape[1]) < p.left_size[:, None]]
-        yield (k, None, lcp.tobytes(), p.size.tobytes(), rest.tobytes(), p.left_size.tobytes(), left.tobytes(), p.doc.tobytes(), p.key.tobytes(), p.place.astype(np.int64).tobytes(), None)
+        left = p.left[back < p.left_size[:, None]]
+        around = (whole[k - 1] if k else low, whole[k] if k < len(whole) else high)
+        yield (base + k, *around, lcp.tobytes(), p.size.tobytes(), rest.tobytes(), p.left_size.tobytes(), left.tobytes(), p.doc.tobytes(), p.key.tobytes(), p.place.astype(np.int64).tobytes(), None, None, None)
 
 
-def _suffix_runs(texts: DataFrame, n_ranges: int) -> DataFrame:
-    """texts: doc_id, key, text, hashes (list of shared anchors' hashes)."""
+def _aside(settled: list[tuple], n_ranges: int) -> Iterator[tuple]:
+    """What a run has settled passes the exchange in groups of its own."""
+    for doc, key, blob in settled:
+        yield (-1 - key % n_ranges, *[None] * 10, doc, key, blob)
 
-    def flush(parts: list[Entries]) -> Iterator[pa.RecordBatch]:
-        rows = list(_sorted_runs(Entries.joined(parts), n_ranges))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RUNS, strict=True)], schema=_RUNS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RUNS, strict=True)], schema=_RUNS)
+
+
+def _entries(texts: DataFrame, use, schema: str) -> DataFrame:
+    """use(iterator of Entries) of every partition's texts: doc_id, key, text, hashes (lists of shared anchors' hashes)."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[Entries]:
         for batch in batches:
             shared = column(batch, "hashes")
             ids, keys = np.asarray(column(batch, "doc_id")), np.asarray(column(batch, "key"))
@@ -313,15 +385,104 @@ def _suffix_runs(texts: DataFrame, n_ranges: int) -> DataFrame:
                 starts = np.flatnonzero(ok & np.r_[True, ~ok[:-1] | (at[1:] != at[:-1])])
                 stops = np.flatnonzero(ok & np.r_[~ok[1:] | (at[1:] != at[:-1]), True])
                 r = row[starts]
-                parts.append(Entries(flat, starts, stops, at[starts], ids[a + r], keys[a + r], offsets[r], h[starts]))
-                held += len(starts)
-                if held >= RUN_ENTRIES:
-                    yield from flush(parts)
-                    parts, held = [], 0
+                yield Entries(flat, starts, stops, at[starts], ids[a + r], keys[a + r], offsets[r])
+
+    return texts.select("doc_id", "key", "text", "hashes").mapInArrow(lambda batches: use(found(batches)), schema)
+
+
+def _splitters(texts: DataFrame, total: int, fan: int, range_entries: int) -> tuple[np.ndarray, int]:
+    """Places that cut the entries of texts (total bytes) into equal parts, at most `fan`, and how many ranges are wanted.
+    Texts are sampled by the hash of their key, about SAMPLE_BYTES of them at any size."""
+    part = min(1.0, SAMPLE_BYTES / max(total, 1))
+    thin = max(1, int(total * part) >> 18)
+
+    def use(found: Iterator[Entries]) -> Iterator[pa.RecordBatch]:
+        for e in found:
+            places = _places(e.taken(mixed(e.place.astype(np.uint64) ^ e.key.astype(np.uint64)) % np.uint64(thin) == 0))
+            yield pa.RecordBatch.from_arrays([pa.array([x.ljust(PLACE, b"\0") for x in places.tolist()], pa.binary())], ["place"])
+
+    drawn = texts.where(F.pmod(F.xxhash64("key", F.lit("splitters")), F.lit(1 << 20)) < max(1, int(part * (1 << 20))))
+    got = np.sort(np.array([r[0] for r in _entries(drawn, use, "place binary").collect()], f"S{PLACE}"))
+    wanted = max(1, round(len(got) * thin / part / range_entries))
+    n = min(wanted, fan)
+    return np.unique(got[np.arange(1, n) * len(got) // n]) if n > 1 else got[:0], wanted
+
+
+def _suffix_runs(texts: DataFrame, splitters: np.ndarray) -> DataFrame:
+    def use(found: Iterator[Entries]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            kept, gone = _settled(_in_order(Entries.joined(parts)))
+            yield _batch([*_cut_at(kept, splitters), *_aside(gone, len(splitters) + 1)])
+
+        for e in found:
+            parts.append(e)
+            held += len(e.doc)
+            if held >= RUN_ENTRIES:
+                yield from flush()
+                parts, held = [], 0
         if parts:
-            yield from flush(parts)
+            yield from flush()
+
+    return _entries(texts, use, _RUNS_SQL)
+
+
+def _decoded(rows: dict[str, list[bytes]]) -> Entries:
+    """Pieces laid end to end as entries; bytes that a front code leaves out come from the last entry that has them."""
+    get = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name]])
+    e = Entries.__new__(Entries)
+    e.size, e.left_size, e.doc, e.key, e.place = get("size", np.uint8), get("left_size", np.uint8), get("docs", np.int64), get("keys", np.int64), get("places", np.int64)
+    shared, steps = get("shared", np.uint8), np.arange(WINDOW)
+    has = (steps >= shared[:, None]) & (steps < e.size[:, None])
+    e.right = np.zeros((len(e.size), WINDOW), np.uint8)
+    e.right[has] = get("rest", np.uint8)
+    new = steps >= shared[:, None]  # zeros after the size count as own bytes
+    of = np.arange(len(e.size))
+    for j in range(WINDOW):
+        last = np.maximum.accumulate(np.where(new[:, j], of, 0))
+        e.right[:, j] = e.right[last, j]
+    e.left = np.zeros((len(e.size), WINDOW - GRAM), np.uint8)
+    e.left[np.arange(WINDOW - GRAM) < e.left_size[:, None]] = get("left", np.uint8)
+    return e
+
+
+def _runs_again(runs: DataFrame, fan: int, per: int) -> DataFrame:
+    """Runs of few ranges: each range's pieces are merged into longer runs and cut at `per` splitters of its own, which
+    its first run gives. Write the result before use: another attempt of a task may cut elsewhere."""
+    names = ("shared", "size", "rest", "left_size", "left", "docs", "keys", "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, held, around, splitters = None, [], 0, (b"", b""), None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal splitters
+            pieces = {n: [r[n] for r in rows] for n in names}
+            order, _ = merge_runs([(np.frombuffer(r["shared"], np.uint8), np.frombuffer(r["size"], np.uint8), r["rest"]) for r in rows])
+            # equal suffixes go on to be ordered by what is to their left
+            kept, gone = _settled(_in_order(_decoded(pieces).taken(order)))
+            if splitters is None:
+                n = min(per, fan, len(kept.doc))
+                splitters = np.unique(_places(kept)[np.arange(1, n) * len(kept.doc) // n]) if n > 1 else _places(kept)[:0]
+            yield _batch([*_cut_at(kept, splitters, now * fan, *around), *_aside(gone, per * 64)])
 
-    return texts.select("doc_id", "key", "text", "hashes").mapInArrow(run, "range int, key long, shared binary, size binary, rest binary, left_size binary, left binary, docs binary, keys binary, places binary, removed binary")
+        for batch in batches:
+            aside = pc.less(column(batch, "range"), 0)
+            if pc.any(aside).as_py():
+                yield batch.filter(aside)
+            for r in batch.filter(pc.invert(aside)).to_pylist():
+                if r["range"] != now or held >= RUN_ENTRIES:
+                    if rows:
+                        yield from flush()
+                    rows, held = [], 0
+                    if r["range"] != now:
+                        now, around, splitters = r["range"], (r["low"], r["high"]), None
+                rows.append(r)
+                held += len(r["shared"])
+        if rows:
+            yield from flush()
+
+    return runs.repartition("range").sortWithinPartitions("range").mapInArrow(run, _RUNS_SQL)
 
 
 def merge_runs(runs: list[tuple[np.ndarray, np.ndarray, bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -384,10 +545,19 @@ def merge_runs(runs: list[tuple[np.ndarray, np.ndarray, bytes]]) -> tuple[np.nda
             node >>= 1
         if now >= 0:
             winner = now
-    for out in range(total):
+    out = 0
+    while out < total:
         r = winner
         order[out] = int(bases[r]) + at[r]
         common[out] = known[r]
+        out += 1
+        i, codes, sizes = at[r] + 1, shared[r], size[r]
+        # equal entries of a run follow unplayed
+        while i < len(codes) and codes[i] == WINDOW and sizes[i] == sizes[i - 1]:
+            order[out], common[out] = int(bases[r]) + i, WINDOW
+            out += 1
+            i += 1
+        at[r] = i - 1
         step(r)
         now, node = r, (r + k) >> 1
         while node:
@@ -399,49 +569,102 @@ def merge_runs(runs: list[tuple[np.ndarray, np.ndarray, bytes]]) -> tuple[np.nda
     return np.array(order, np.int64), np.array(common, np.int64)
 
 
-def resolve(common: np.ndarray, size: np.ndarray, left_size: np.ndarray, left: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For entries in merged order: bit o is set if the window that starts o bytes before the anchor is in a smaller id."""
+def _left_names(left: np.ndarray) -> Iterator[np.ndarray]:
+    """For 0, 1, 2.. bytes: numbers that are equal where so many bytes of left are."""
+    order = np.lexsort(_as_words(left)[::-1])
+    common = np.r_[0, _common(left[order[1:]], left[order[:-1]])]
+    name = np.empty(len(left), np.int64)
+    for o in range(left.shape[1] + 1):
+        name[order] = np.cumsum(common < o)
+        yield name
+
+
+def resolve(common: np.ndarray, size: np.ndarray, left_size: np.ndarray, left: np.ndarray, doc: np.ndarray, reach: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """For entries in merged order: bit o is set if the window that starts o bytes before the anchor is in a smaller id.
+    Also, for each o, the entries that keep their window while the window's suffix reaches into another range (reach:
+    an entry's common prefix with a splitter beside the range)."""
     mask = np.zeros(len(doc), np.uint32)
-    hashed = np.zeros(len(doc), np.uint64)
-    for o in range(WINDOW - GRAM + 1):
+    going: list[tuple[int, np.ndarray]] = []
+    for o, left_name in enumerate(_left_names(left)):
         depth = WINDOW - o
-        if o:
-            hashed = mixed(hashed * np.uint64(257) + left[:, o - 1].astype(np.uint64) + np.uint64(o))
         i = np.flatnonzero((size >= depth) & (left_size >= o))
-        if len(i) < 2:
+        if not len(i):
             continue
-        name = mixed(np.cumsum(common < depth).astype(np.uint64)[i]) ^ hashed[i]
+        name = np.cumsum(common < depth)[i] * np.int64(len(doc) + 1) + left_name[i]
         by = np.lexsort((doc[i], name))
         name, d = name[by], doc[i][by]
         new = np.r_[True, name[1:] != name[:-1]]
         smallest = d[np.flatnonzero(new)][np.cumsum(new) - 1]
         mask[i[by[d > smallest]]] |= np.uint32(1 << o)
-    return mask
+        if reach is not None:
+            j = i[by[(d == smallest) & (reach[i[by]] >= depth)]]
+            if len(j):
+                going.append((o, j))
+    return mask, going
+
+
+def _digests(e: Entries, of: np.ndarray, o: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of the windows that start o bytes before the anchors."""
+    both = []
+    for salt in (0x9E37, 0x79B97F4A):
+        h = np.full(len(of), salt + o, np.uint64)
+        for m, n in ((e.right, WINDOW - o), (e.left, o)):
+            for w in _as_words(m[of, :n]) if n else ():
+                h = mixed((h ^ w) * np.uint64(0x2545F4914F6CDD1D) + np.uint64(salt))
+        both.append(h.view(np.int64))
+    return both[0], both[1]
+
+
+_SPANS = "doc_id long, key long, removed binary, a long, b long, place long, o int"
 
 
 def _merged(runs: DataFrame) -> DataFrame:
-    """(key, removed) of every range: spans that a smaller id elsewhere holds."""
+    """Of every range: doc_id, key, removed (spans that a smaller id holds), or, with a removed of null, a window that
+    another range may hold too: its digest (a, b), place and o."""
 
     def meet(t: pa.Table) -> pa.Table:
+        none = [pa.nulls(t.num_rows, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32())]
+        names = ["doc_id", "key", "removed", "a", "b", "place", "o"]
+        if t["range"][0].as_py() < 0:
+            return pa.table([t["doc_id"], t["key"], t["removed"], *none], names)
         rows = {name: [x.as_py() for c in t[name].chunks for x in c] for name in ("shared", "size", "rest", "left_size", "left", "docs", "keys", "places")}
-        get = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name]])
-        heads = [(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), c) for a, b, c in zip(rows["shared"], rows["size"], rows["rest"], strict=True)]
-        order, common = merge_runs(heads)
-        size, left_size = (get(c, np.uint8).astype(np.int64) for c in ("size", "left_size"))
-        left = np.zeros((len(size), WINDOW - GRAM), np.uint8)
-        left[np.arange(WINDOW - GRAM) < left_size[:, None]] = get("left", np.uint8)
-        size = size[order]
-        common = np.minimum(common, np.minimum(size, np.r_[0, size[:-1]]))
-        mask = resolve(common, size, left_size[order], left[order], get("docs", np.int64)[order])
+        order, common = merge_runs([(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), c) for a, b, c in zip(rows["shared"], rows["size"], rows["rest"], strict=True)])
+        e = _decoded(rows).taken(order)
+        del rows
+        size, left_size = e.size.astype(np.int64), e.left_size.astype(np.int64)
+        reach = np.zeros(len(size), np.int64)
+        for splitter, at, towards in ((t["low"][0].as_py(), 0, common), (t["high"][0].as_py(), -1, np.r_[common[1:], 0][::-1])):
+            if splitter:
+                ends = int(_common(np.frombuffer(splitter[:WINDOW], np.uint8)[None], e.right[at][None])[0])
+                far = np.minimum.accumulate(np.r_[ends, towards[1:]])
+                reach = np.maximum(reach, far if at == 0 else far[::-1])
+        clipped = np.minimum(common, np.minimum(size, np.r_[0, size[:-1]]))
+        mask, going = resolve(clipped, size, left_size, e.left, e.doc, reach if reach.any() else None)
         i = np.flatnonzero(mask)
         spans = np.zeros(len(i), _SPAN)
-        spans["place"], spans["mask"] = get("places", np.int64)[order][i], mask[i]
-        out = list(_by_key(get("keys", np.int64)[order][i], spans))
+        spans["place"], spans["mask"] = e.place[i], mask[i]
+        lost = list(_by_row(e.doc[i], e.key[i], spans))
+        table = [pa.table([pa.array(c, k) for c, k in zip(zip(*lost, strict=True) if lost else ((), (), ()), (pa.int64(), pa.int64(), pa.binary()), strict=True)] + [pa.nulls(len(lost), x.type) for x in none], names)]
+        for o, j in going:
+            a, b = _digests(e, j, o)
+            table.append(pa.table([pa.array(e.doc[j]), pa.array(e.key[j]), pa.nulls(len(j), pa.binary()), pa.array(a), pa.array(b), pa.array(e.place[j]), pa.array(np.full(len(j), o, np.int32))], names))
         give_back()
-        return pa.table({"key": pa.array([k for k, _ in out], pa.int64()), "removed": pa.array([b for _, b in out], pa.binary())})
+        return pa.concat_tables(table)
 
-    met = runs.where("range is not null").groupBy("range").applyInArrow(meet, "key long, removed binary")
-    return met.unionByName(runs.where("range is null").select("key", "removed"))
+    return runs.groupBy("range").applyInArrow(meet, _SPANS)
+
+
+def _spans(merged: DataFrame) -> DataFrame:
+    """(doc_id, key, removed: list of spans) of every row that loses something; merged is read twice. A window that went on
+    has one row a range and repeat, so its digests spread; equal ones are counted together before they move."""
+    windows = merged.where("removed is null")
+    least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    lost = windows.join(least, ["a", "b"]).where("doc_id > least")
+    # a span as it lies in memory: the place in eight bytes and the mask in four, least byte first
+    little = lambda c, n: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(c), 2 * n, "0"), 2 * (n - k) - 1, 2) for k in range(n)]))
+    one = F.concat(little(F.col("place"), 8), little(F.expr("shiftleft(1L, o)"), 4))
+    both = merged.where("removed is not null").select("doc_id", "key", "removed").unionByName(lost.select("doc_id", "key", one.alias("removed")))
+    return both.groupBy("doc_id", "key").agg(F.collect_list("removed").alias("removed"))
 
 
 def removed_spans(n: int, blobs: list[bytes]) -> np.ndarray:
@@ -455,12 +678,12 @@ def removed_spans(n: int, blobs: list[bytes]) -> np.ndarray:
 
 
 def _cut_out(texts: DataFrame) -> DataFrame:
-    """key, spans, n_removed and kept_sha256 of texts with removed spans."""
+    """doc_id, key, spans, n_removed and kept_sha256 of texts with removed spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for key, text, blobs in zip(column(batch, "key").to_pylist(), column(batch, "text"), column(batch, "removed").to_pylist(), strict=True):
+            out: list[list] = [[], [], []]
+            for text, blobs in zip(column(batch, "text"), column(batch, "removed").to_pylist(), strict=True):
                 raw = text.as_py() or b""
                 spans = removed_spans(len(raw), blobs)
                 kept, at = hashlib.sha256(), 0
@@ -468,19 +691,35 @@ def _cut_out(texts: DataFrame) -> DataFrame:
                     kept.update(raw[at:a])
                     at = b
                 kept.update(raw[at:])
-                for c, x in zip(out, (key, spans.ravel().tolist(), int(np.diff(spans).sum()), kept.hexdigest()), strict=True):
+                for c, x in zip(out, (spans.ravel().tolist(), int(np.diff(spans).sum()), kept.hexdigest()), strict=True):
                     c.append(x)
-            types = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["key", "spans", "n_removed", "kept_sha256"])
+            types = (pa.list_(pa.int64()), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "key"), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], ["doc_id", "key", "spans", "n_removed", "kept_sha256"])
 
-    return texts.mapInArrow(run, "key long, spans array<long>, n_removed long, kept_sha256 string")
+    return texts.mapInArrow(run, "doc_id long, key long, spans array<long>, n_removed long, kept_sha256 string")
 
 
 def row_key() -> Column:
     return F.xxhash64("doc_id", F.lit("row"), "text")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def _with_copies(whole: DataFrame, hot: int) -> DataFrame:
+    """whole with `copy`: is an equal text under a smaller id? Groups of over `hot` copies, of which there are few, meet by
+    a broadcast while their number is bounded; the rest are small groups of a join."""
+    groups = cut(whole.where(f"doc_id is not null and n_bytes >= {WINDOW}").groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    large, rest = groups.where(F.col("n") > hot), groups
+    if 0 < large.count() <= BROADCAST_IDS:
+        whole = whole.join(F.broadcast(large.select("sha", F.col("first").alias("large"))), "sha", "left")
+        rest = groups.where(F.col("n") <= hot)
+    else:
+        whole = whole.withColumn("large", F.lit(None).cast("long"))
+    # rows of large groups get sums of their own here, so that they do not meet in one task
+    at = F.when(F.col("large").isNull(), F.col("sha")).otherwise(F.concat(F.lit("-"), F.col("doc_id").cast("string")))
+    out = whole.withColumn("at", at).join(rest.select(F.col("sha").alias("at"), "first"), "at", "left")
+    return out.select("doc_id", "key", "n_bytes", "sha", F.coalesce(F.col("doc_id") > F.coalesce("large", "first"), F.lit(False)).alias("copy"))
+
+
+def deduplicate(docs: DataFrame, fan: int = FAN, range_bytes: int = RANGE_BYTES, range_entries: int = RANGE_ENTRIES, hot: int = HOT_COPIES) -> DataFrame:
     """doc_id, key, n_bytes, n_removed, kept_sha256 and spans (start, end, start, end.. in bytes) of every row of docs;
     key is row_key() of doc_id as long and text as string, null counting as empty."""
     spark = docs.sparkSession
@@ -488,29 +727,31 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     docs = docs.withColumns({"key": row_key(), "text_hash": F.xxhash64("text"), "n_bytes": F.octet_length("text").cast("long")})
     with Scratch(spark) as scratch:
         whole = scratch.keep(docs.select("doc_id", "key", "n_bytes", F.sha2("text", 256).alias("sha")), "whole")
-        first = whole.where(f"doc_id is not null and n_bytes >= {WINDOW}").groupBy("sha").agg(F.min("doc_id").alias("first"))
-        whole = scratch.keep(whole.join(first, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))), "copies")
+        whole = scratch.keep(_with_copies(whole, hot), "copies")
         total = whole.agg(F.sum("n_bytes")).first()[0] or 0
-        n_ranges = max(24, -(-total // RANGE_BYTES))
 
         long = docs.where(f"doc_id is not null and n_bytes >= {WINDOW}")
-        told = scratch.keep(_shared_anchors(scratch.keep(_anchor_runs(long, n_ranges), "anchors")).groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes")), "told")
-        scratch.drop("anchors")
+        shared = _shared_anchors(long, max(24, -(-total // range_bytes)), fan)
+        told = scratch.keep(shared.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes")), "told")
         # one row a distinct text and id, without copies
-        going = scratch.keep(whole.where("not copy").select("doc_id", "key").distinct().join(told.select("doc_id"), "doc_id", "left_semi"), "going")
-        picked = going.select("key")
-        if going.count() <= BROADCAST_IDS:
+        going = scratch.keep(whole.where("not copy").select("doc_id", "key", "n_bytes").distinct().join(told.select("doc_id"), "doc_id", "left_semi"), "going")
+        n, total = going.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+        picked = going.select("doc_id", "key")
+        if n <= BROADCAST_IDS:
             picked = F.broadcast(picked)
-        texts = long.select("doc_id", "key", F.col("text").cast("binary").alias("text")).join(picked, "key", "left_semi")
+        texts = long.select("doc_id", "key", F.col("text").cast("binary").alias("text")).join(picked, ["doc_id", "key"], "left_semi")
         texts = scratch.keep(texts.join(told, "doc_id"), "texts")
         scratch.drop("told")
-        runs = scratch.keep(_suffix_runs(texts, n_ranges), "runs")
-        spans = _merged(runs).groupBy("key").agg(F.collect_list("removed").alias("removed"))
+        splitters, wanted = _splitters(texts, total, fan, range_entries)
+        runs = _suffix_runs(texts, splitters)
+        if wanted > fan:
+            runs = scratch.keep(_runs_again(runs, fan, -(-2 * wanted // fan)), "runs")
+        spans = _spans(scratch.keep(_merged(runs), "merged"))
         # equal rows share a key
-        partly = scratch.keep(_cut_out(texts.select("key", "text").join(spans, "key").select("key", "text", "removed")).dropDuplicates(["key"]), "partly")
+        partly = scratch.keep(_cut_out(texts.select("doc_id", "key", "text").join(spans, ["doc_id", "key"])).dropDuplicates(["doc_id", "key"]), "partly")
 
         nothing = hashlib.sha256().hexdigest()
-        out = whole.join(partly, "key", "left")
+        out = whole.join(partly, ["doc_id", "key"], "left")
         empty = F.array().cast("array<long>")
         return cut(
             out.select(
@@ -528,13 +769,13 @@ def without_repeats(docs: DataFrame, touched: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without the bytes that deduplicate() found (touched: its rows); characters that
     lose a part go whole, and n_chars follows. Rows that lose nothing are neither shuffled nor sent to Python."""
     schema = docs.schema
-    hit = cut(touched.where("n_removed > 0").groupBy("key").agg(F.first("spans").alias("spans")))
-    keys = hit.select(F.col("key").alias("__llm_key"))
-    if hit.count() <= BROADCAST_IDS:
-        keys = F.broadcast(keys)
-    keyed = docs.withColumn("__llm_key", F.xxhash64(F.col("doc_id").cast("long"), F.lit("row"), F.coalesce(F.col("text"), F.lit(""))))
-    clean = keyed.join(keys, "__llm_key", "left_anti").select(docs.columns)
-    partly = keyed.join(keys, "__llm_key", "left_semi").join(hit.select(F.col("key").alias("__llm_key"), F.col("spans").alias("__llm_spans")), "__llm_key").select(*docs.columns, "__llm_spans")
+    at = ["__llm_doc", "__llm_key"]
+    hit = cut(touched.where("n_removed > 0").groupBy(F.col("doc_id").alias("__llm_doc"), F.col("key").alias("__llm_key")).agg(F.first("spans").alias("__llm_spans")))
+    keys = F.broadcast(hit.select(at)) if hit.count() <= BROADCAST_IDS else hit.select(at)
+    doc = F.col("doc_id").cast("long")
+    keyed = docs.withColumns({"__llm_doc": doc, "__llm_key": F.xxhash64(doc, F.lit("row"), F.coalesce(F.col("text"), F.lit("")))})
+    clean = keyed.join(keys, at, "left_anti").select(docs.columns)
+    partly = keyed.join(keys, at, "left_semi").join(hit, at).select(*docs.columns, "__llm_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
