@@ -1,21 +1,26 @@
 """Main text of web pages by tag-path ratios.
 
-The page is read once into text nodes, each under its root-to-leaf tag path. Text length and punctuation are
-aggregated per path, turned into a ratio per node of the path, smoothed over the order of the nodes, fused (length
-ratio x punctuation ratio x share of text outside links) and thresholded at a part of its spread: that selects the content nodes. The
-selected nodes' text then elects the container: the deepest element that holds nearly all of it (an `article` or
-`main` element around most of it is taken at once). Everything in the container counts, but for elements that are
-menus, headers, footers, asides, notices, adverts, forms, comments and the like by tag, role, class or id.
-
-Defined results: null or empty html, or html without content, gives ''; malformed markup (unclosed or stray tags,
-cut-off pages) is read as browsers do in outline: new blocks close open paragraphs, stray end tags are skipped;
-equal rows give equal results; only page_id, url and html are read.
+The page is read once into blocks of text, each under its root-to-leaf path of block elements (a step is the tag with
+its class). Text length, punctuation and text in links are aggregated per path. A path's ratio fuses mean length, mean
+punctuation and the share outside links; ratios are smoothed over the order of the blocks (a block between strong ones
+is lifted to a part of the weaker side, so that nothing spreads over the edges), averaged per path and thresholded at a
+part of the text's mean: that selects the content paths, and their blocks are the output, within the region that holds
+the content (the page's article, or the deepest element with nearly all of it). Left out blocks come back where structure
+ties them to selected ones: headings, paragraphs, items and cells in the same container, and short gaps.
+
+Menus, headers, footers, asides, notices, adverts, comments and the like by tag, role, class or id are not content. Tags
+hold always; a word in a class or id, and a form, does not if the element holds most of the page's text and its
+heading or article, or nearly all text.
+
+Defined results: null or empty html, or html without content, gives ''; malformed markup (unclosed or stray tags or
+quotes, cut-off pages) is read as browsers do in outline: new blocks close open paragraphs, stray end tags are skipped;
+any depth and length is read in linear time; equal rows give equal results; only page_id, url and html are read, and
+columns of other names change nothing.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -29,7 +34,7 @@ from .common import column
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-SKIPPED = frozenset("nav header footer aside form script style noscript template iframe button select textarea dialog menu svg head title object applet canvas audio video input option fieldset noembed noframes xmp math".split())
+SKIPPED = frozenset("nav header footer aside form script style noscript template iframe button select textarea dialog menu svg head title object applet canvas audio video input option fieldset noembed noframes xmp math".split()) - {"form"}
 SCOPES = frozenset("html body table td th tr div article section main ul ol dl blockquote figure aside nav header footer form details fieldset".split())
 # Words in class, id or role that mark what is not content.
 MARKS = frozenset(
@@ -38,186 +43,279 @@ MARKS = frozenset(
     "consent gdpr notice notices notification alert popup modal overlay dialog subscribe subscription newsletter signup login form search searchbox share sharing social "
     "related recommended recommendations comment comments disqus reply replies respond discussion pagination pager widget widgets toolbar skip hidden tags toc".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Words before which a class tells of a state and not of what the element is (has-sidebar, with-banner).
+STATES = frozenset("has with no not without is show hide js".split())
+#: Elements of running text: what they hold belongs to the container around them.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tbody thead tfoot tr td th caption figure figcaption address center".split())
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"""([^\s=/]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s]+))?""")
+_NAMED = re.compile(r"class|id|role|hidden|style", re.I)
 _PUNCT = re.compile(r"[.,;:!?。，！？…]")
 _P_CLOSERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-_SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Which open elements a start tag closes, by the group that is searched, and what ends the search.
+_GROUP = {"li": 0, "dt": 1, "dd": 1, "tr": 2, "td": 3, "th": 3, "option": 4}
+_LISTS = frozenset("ul ol dl table select".split())
 _WORD = re.compile(r"[a-z]+")
 
+CONTENT, HARD, MARK = 0, 1, 2
+#: Part of the text's mean score that a path needs, part of the weaker side that a block between is lifted to, and blocks of a gap.
+PART, LIFT, GAP = 0.25, 0.5, 3
+
+
+def _kind(tag: str, attrs: str) -> tuple[int, str]:
+    """What an element is by tag and attributes, and its class."""
+    if tag in SKIPPED:
+        return HARD, ""
+    kind, named = (MARK if tag == "form" else CONTENT), ""
+    if not attrs or not _NAMED.search(attrs):
+        return kind, named
+    for name, value in _ATTR.findall(attrs):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "class":
+            named = " ".join(value.split())
+        if tag in ("body", "html"):
+            continue
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+            return HARD, named
+        if name in ("class", "id", "role") and tag not in ("article", "main") and not (tag[:1] == "h" and tag[1:].isdigit()):
+            for part in value.split():
+                words = _WORD.findall(part)
+                if words and words[0] not in STATES and not MARKS.isdisjoint(words):
+                    kind = MARK
+    return kind, named
 
-class Element:
-    __slots__ = ("tag", "parent", "skip", "text", "depth", "path", "link")
 
-    def __init__(self, tag: str, parent: Element | None, skip: bool):
-        self.tag, self.parent, self.skip = tag, parent, skip or (parent is not None and parent.skip)
-        self.depth = parent.depth + 1 if parent else 0
-        self.path = f"{parent.path}/{tag}" if parent else tag
-        self.link = tag == "a" or (parent is not None and parent.link)
-        self.text = 0
+class Page:
+    """Elements in order (parents first) and text nodes (text, element); a text of None ends a block."""
 
+    def __init__(self, html: str):
+        self.tag, self.parent, self.kind, self.path, self.link = ["#"], [-1], [CONTENT], [0], [False]
+        #: Innermost block element of an element, itself counted.
+        self.block = [0]
+        self.nodes: list[tuple[str | None, int]] = []
+        self._paths: dict[tuple[int, str], int] = {}
+        self._read(html)
 
-def _marked(tag: str, attrs: str) -> bool:
-    if tag in SKIPPED:
-        return True
-    if not attrs or tag in ("body", "html"):
-        return False
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style":
-            if "display:none" in value.replace(" ", ""):
-                return True
-        elif name in ("class", "id", "role") and any(w in MARKS for part in value.split() for w in _WORD.findall(part)):
-            if tag in ("article", "main") or tag[:1] == "h" and tag[1:].isdigit():
+    def _element(self, tag: str, parent: int, kind: int, named: str) -> int:
+        at = len(self.tag)
+        inline = tag in INLINE
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.kind.append(kind)
+        self.link.append(tag == "a" or self.link[parent])
+        self.block.append(self.block[parent] if inline else at)
+        step = (self.path[parent], f"{tag}.{named}" if named else tag)
+        self.path.append(self.path[parent] if inline else self._paths.setdefault(step, len(self._paths) + 1))
+        return at
+
+    def _read(self, html: str) -> None:
+        nodes = self.nodes
+        # open elements, and for each: innermost open block, paragraph in scope, cell, and siblings by group, as places in the stack
+        stack, blocks, paragraphs, cells, groups = [0], [0], [0], [0], [(0,) * 5]
+        places: dict[str, list[int]] = {}
+        endless: set[str] = set()
+        at = 0
+
+        def pop_to(i: int) -> None:
+            if blocks[-1] >= i:
+                nodes.append((None, stack[i - 1]))
+            for e in stack[i:]:
+                places[self.tag[e]].pop()
+            for held in (stack, blocks, paragraphs, cells, groups):
+                del held[i:]
+
+        while True:
+            m = _TOKEN.search(html, at)
+            stop = m.start() if m else len(html)
+            if stop > at:
+                nodes.append((unescape(html[at:stop]), stack[-1]))
+            if not m:
+                return
+            at = m.end()
+            if m["cdata"] is not None:
+                nodes.append((m["cdata"], stack[-1]))
+            if m["tag"] is None:
                 continue
-            return True
-    return False
-
-
-def nodes(html: str) -> list[tuple[str | None, Element]]:
-    """Text nodes in order, each with its innermost element; a None in place of text ends a block."""
-    root = Element("#", None, False)
-    stack, out, at = [root], [], 0
-
-    def pop_to(i: int) -> None:
-        if any(e.tag not in INLINE for e in stack[i:]):
-            out.append((None, stack[i - 1]))
-        del stack[i:]
-
-    while True:
-        m = _TOKEN.search(html, at)
-        stop = m.start() if m else len(html)
-        if stop > at:
-            out.append((unescape(html[at:stop]), stack[-1]))
-        if not m:
-            return out
-        at = m.end()
-        if m["cdata"] is not None:
-            out.append((m["cdata"], stack[-1]))
-        if m["tag"] is None:
-            continue
-        tag, attrs = m["tag"].lower(), m["attrs"]
-        if m["end"]:
-            if tag == "br":
-                out.append((" ", stack[-1]))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    pop_to(i)
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE or stack[i].tag in ("td", "th") and tag not in SCOPES:
-                    break
-            continue
-        if tag in VOID:
-            out.append((" ", stack[-1]) if tag not in ("hr", "wbr") else (None if tag == "hr" else "", stack[-1]))
-            continue
-        if tag in _P_CLOSERS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
+            tag, attrs = m["tag"].lower(), m["attrs"]
+            if m["end"]:
+                if tag == "br":
+                    nodes.append((" ", stack[-1]))
+                i = places[tag][-1] if places.get(tag) else 0
+                if i and not (tag in INLINE and i < blocks[-1]) and not (tag not in SCOPES and i < cells[-1]):
                     pop_to(i)
-                    break
-                if stack[i].tag in SCOPES:
-                    break
-        for i in range(len(stack) - 1, 0, -1) if tag in _SIBLINGS else ():
-            if stack[i].tag in _SIBLINGS[tag]:
-                pop_to(i)
-                if tag != "tr" or stack[-1].tag not in ("td", "th", "tr"):
-                    break
-            elif stack[i].tag in ("ul", "ol", "dl", "table", "select"):
-                break
-        if tag == "body" and any(e.tag == "head" for e in stack):
-            pop_to(next(i for i, e in enumerate(stack) if e.tag == "head"))
-        if tag not in INLINE:
-            out.append((None, stack[-1]))
-        if attrs.endswith("/") and tag in ("svg", "path", "script"):
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
-            if end:
-                at = html.find(">", end.end() - 1) + 1 or len(html)
-            elif tag in ("script", "style", "textarea", "xmp"):
-                at = len(html)
-            continue
-        stack.append(Element(tag, stack[-1], _marked(tag, attrs)))
-
-
-def path_scores(parsed: list[tuple[str | None, Element]], sigma: float = 1.0, part: float = 0.1) -> tuple[np.ndarray, float]:
-    """Fused and smoothed score of each node, and the threshold over the spread of scores."""
-    length, punct, count, linked = (defaultdict(float) for _ in range(4))
-    sizes = np.zeros(len(parsed))
-    for i, (text, e) in enumerate(parsed):
-        if text and not e.skip and (n := len(text.strip())):
-            sizes[i] = n
-            length[e.path] += n
-            punct[e.path] += len(_PUNCT.findall(text))
-            count[e.path] += 1
-            linked[e.path] += n * e.link
-    raw = np.zeros(len(parsed))
-    for i, (_, e) in enumerate(parsed):
-        if sizes[i]:
-            p = e.path
-            raw[i] = (length[p] / count[p]) * (1 + punct[p] / count[p]) * (1 - linked[p] / length[p])
-    reach = np.arange(-2, 3)
-    kernel = np.exp(-(reach**2) / (2 * sigma**2))
-    shown = np.flatnonzero(sizes)
-    smooth = np.zeros(len(parsed))
-    if len(shown):
-        smooth[shown] = np.convolve(np.pad(raw[shown], 2, mode="edge"), kernel / kernel.sum(), "valid")
-        smooth[shown] *= 1 - np.array([parsed[i][1].link for i in shown])
-    return smooth, part * float(smooth[shown].std()) if len(shown) else 0.0
-
-
-def container(parsed: list[tuple[str | None, Element]]) -> Element | None:
-    """The deepest element that holds at least 90 % of the selected nodes' text, or an article or main with over half."""
-    scores, least = path_scores(parsed)
-    held: dict[int, float] = defaultdict(float)
-    by: dict[int, Element] = {}
-    total = 0.0
-    for (text, e), score in zip(parsed, scores, strict=True):
-        if not text or e.skip or score <= least:
-            continue
-        n = len(text.strip())
-        total += n
-        while e is not None:
-            held[id(e)] += n
-            by[id(e)] = e
-            e = e.parent
-    if not total:
-        return None
-    named = [e for i, e in by.items() if e.tag in ("article", "main") and held[i] > 0.5 * total]
-    if named:
-        return min(named, key=lambda e: e.depth if e.tag == "article" else 1000 + e.depth)
-    best = max((e for i, e in by.items() if held[i] >= 0.9 * total and e.tag not in INLINE), key=lambda e: e.depth)
-    while best.parent is not None and best.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td"):
-        best = best.parent
+                continue
+            if tag in VOID:
+                nodes.append((None, stack[-1]) if tag == "hr" else ("" if tag == "wbr" else " ", stack[-1]))
+                continue
+            if tag in _P_CLOSERS and paragraphs[-1]:
+                pop_to(paragraphs[-1])
+            if tag in _GROUP:
+                g = _GROUP[tag]
+                if tag == "tr" and groups[-1][3]:  # a row ends an open cell and its row
+                    pop_to(groups[-1][3])
+                if groups[-1][g]:
+                    pop_to(groups[-1][g])
+            if tag == "body" and places.get("head"):
+                pop_to(places["head"][-1])
+            if tag not in INLINE:
+                nodes.append((None, stack[-1]))
+            if attrs.endswith("/") and tag in ("svg", "path", "script"):
+                continue
+            if tag in RAW:
+                end = None if tag in endless else re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
+                if end:
+                    at = html.find(">", end.end() - 1) + 1 or len(html)
+                elif tag in ("script", "style", "textarea", "xmp"):
+                    at = len(html)
+                else:
+                    endless.add(tag)
+                continue
+            e = self._element(tag, stack[-1], *_kind(tag, attrs))
+            i = len(stack)
+            stack.append(e)
+            blocks.append(blocks[-1] if tag in INLINE else i)
+            paragraphs.append(i if tag == "p" else 0 if tag in SCOPES else paragraphs[-1])
+            cells.append(i if tag in ("td", "th") else cells[-1])
+            near = groups[-1]
+            if tag in _LISTS:
+                near = (0,) * 5
+            elif tag in _GROUP:
+                near = (*near[: _GROUP[tag]], i, *near[_GROUP[tag] + 1 :])
+            groups.append(near)
+            places.setdefault(tag, []).append(i)
+
+    def under(self, own: list[float]) -> list[float]:
+        """Sums over elements and all that they hold."""
+        held = list(own)
+        for e in range(len(held) - 1, 0, -1):
+            held[self.parent[e]] += held[e]
+        return held
+
+    def dropped(self) -> list[bool]:
+        """Elements that are not content, with all that they hold."""
+        own, main = [0.0] * len(self.tag), [float(t in ("h1", "article", "main")) for t in self.tag]
+        for text, e in self.nodes:
+            if text and not self.link[e]:
+                own[e] += len(text.strip())
+        hard = [False] * len(self.tag)
+        for e in range(1, len(self.tag)):
+            hard[e] = hard[self.parent[e]] or self.kind[e] == HARD
+            if hard[e]:
+                own[e] = main[e] = 0.0
+        own, main = self.under(own), self.under(main)
+        out = hard
+        for e in range(1, len(self.tag)):
+            if self.kind[e] == MARK and not hard[e]:
+                holds = own[e] >= 0.9 * own[0] or main[e] and own[e] >= 0.5 * own[0]
+                out[e] = not (own[0] and holds)
+            out[e] = out[e] or out[self.parent[e]]
+        return out
+
+
+class Blocks:
+    """Kept blocks of a page: text, element, path, and lengths of text, punctuation and text in links."""
+
+    def __init__(self, page: Page):
+        self.text: list[str] = []
+        self.element: list[int] = []
+        length, punct, linked = [], [], []
+        drop = page.dropped()
+        now: list[str] = []
+        first, links = 0, 0
+
+        def close() -> None:
+            if now and (text := " ".join("".join(now).split())):
+                self.text.append(text)
+                self.element.append(page.block[first])
+                length.append(len(text))
+                punct.append(len(_PUNCT.findall(text)))
+                linked.append(min(links, len(text)))
+
+        for text, e in page.nodes:
+            if text is None:
+                close()
+                now, links = [], 0
+            elif not drop[e]:
+                if not now:
+                    first = e
+                now.append(text)
+                links += len(text.strip()) if page.link[e] else 0
+        close()
+        self.length, self.punct, self.linked = (np.array(c, float) for c in (length, punct, linked))
+        self.path = np.array([page.path[e] for e in self.element], np.int64)
+
+
+def path_scores(b: Blocks) -> tuple[np.ndarray, float]:
+    """Every block's path score (fused, smoothed, averaged per path), and the threshold."""
+    _, of = np.unique(b.path, return_inverse=True)
+    count, length, punct, linked = (np.bincount(of, weights=w) for w in (np.ones(len(of)), b.length, b.punct, b.linked))
+    free = 1 - linked / length
+    ratio = ((length / count) * (1 + punct / count) * free)[of]
+    far = np.pad(ratio, 2)
+    n = len(ratio)
+    left, right = 0.6 * far[1 : n + 1] + 0.4 * far[:n], 0.6 * far[3 : n + 3] + 0.4 * far[4 : n + 4]
+    smooth = np.maximum(ratio, LIFT * np.minimum(left, right))
+    score = (np.bincount(of, weights=smooth) / count * free)[of]
+    return score, PART * float((score * b.length).sum() / b.length.sum())
+
+
+def region(page: Page, b: Blocks, weight: np.ndarray) -> int:
+    """The element that holds the content: the only article, or one with over half of the selected text, or such a main;
+    else the deepest element with nearly all of it."""
+    own, shown = [0.0] * len(page.tag), [0.0] * len(page.tag)
+    for e, w, n in zip(b.element, weight.tolist(), b.length.tolist(), strict=True):
+        own[e] += w
+        shown[e] += n
+    own, shown = page.under(own), page.under(shown)
+    for tag in ("article", "main"):
+        named = [e for e in range(len(page.tag)) if page.tag[e] == tag and shown[e]]
+        best = max(named, key=lambda e: own[e], default=0)
+        if best and (len(named) == 1 or own[best] > 0.5 * own[0]):
+            return best
+    best = at = 0
+    for e in range(1, len(page.tag)):
+        # parents come first, and at most one child can hold this much
+        if page.parent[e] == at and own[0] and own[e] >= 0.9 * own[0]:
+            at = e
+            if page.tag[e] == "td" or page.tag[e] not in FLOW and page.tag[e] not in INLINE:
+                best = e
     return best
 
 
+def _chosen(page: Page, b: Blocks) -> np.ndarray:
+    """Which blocks are the main text."""
+    score, least = path_scores(b)
+    selected = (score > 0) & (score >= least)
+    top = region(page, b, np.where(selected, b.length - b.linked, 0))
+    inside, home = [e == top for e in range(len(page.tag))], list(range(len(page.tag)))
+    for e in range(1, len(page.tag)):
+        inside[e] = inside[e] or inside[page.parent[e]]
+        if e != top and (page.tag[e] in FLOW or page.tag[e] in INLINE):
+            home[e] = home[page.parent[e]]
+    within = np.array([inside[e] for e in b.element])
+    homes = np.array([home[e] for e in b.element])
+    keep = selected & within
+    # what stands in one container with selected blocks, unless it is a list of links
+    keep |= within & np.isin(homes, homes[keep]) & (b.linked < 0.8 * b.length)
+    at = np.flatnonzero(keep)
+    for x, y in zip(at, at[1:], strict=False):
+        if 1 < y - x <= GAP + 1:
+            keep[x + 1 : y] |= within[x + 1 : y] & (b.linked[x + 1 : y] < 0.5 * b.length[x + 1 : y])
+    if len(at) and not any(page.tag[b.element[i]] == "h1" for i in at):
+        for i in range(at[0] - 1, max(at[0] - 1 - GAP, -1), -1):
+            if page.tag[b.element[i]] == "h1":
+                keep[i] = True
+                break
+    return keep
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    parsed = nodes(html)
-    top = container(parsed)
-    if top is None:
-        return ""
-    blocks: list[str] = []
-    now: list[str] = []
-    inside: dict[int, bool] = {}
-
-    def within(e: Element) -> bool:
-        if (known := inside.get(id(e))) is None:
-            known = inside[id(e)] = e is top or (e.parent is not None and within(e.parent))
-        return known
-
-    for text, e in parsed:
-        if text is None:
-            blocks.append("".join(now))
-            now = []
-        elif not e.skip and within(e):
-            now.append(text)
-    blocks.append("".join(now))
-    return " ".join(b for b in (" ".join(b.split()) for b in blocks) if b)
+    page = Page(html)
+    b = Blocks(page)
+    return " ".join(b.text[i] for i in np.flatnonzero(_chosen(page, b))) if b.text else ""
 
 
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
