@@ -3,11 +3,13 @@
 An arrival is written as a run of small shards that never change. Runs whose sizes fall in one tier (powers of FANOUT
 over BASE bytes) are merged as soon as there are FANOUT of them: the runs' files are packed into tasks of the target
 size and each task writes one file, so merging shuffles nothing. A manifest lists the runs of the store; its next
-version is written aside and renamed into place, which succeeds for one writer only, and files are deleted
-after the version without them is there. Readers keep the version they opened.
+version is written aside and renamed into place, which succeeds for one writer only where a rename does not replace
+files (HDFS and like stores; a plain object store needs a store with conditional puts under it). Compaction deletes
+nothing: readers keep the version they opened until vacuum() is told how many versions to retain.
 
-Defined results: rows are stored as they are, nulls, repeats and further columns too; an empty arrival adds no
-run; an empty store reads as no rows; a failed commit leaves the former version and raises.
+Defined results: rows are stored as they are, nulls, repeats and further columns too; an arrival may bring columns that
+the store has not (older rows read as null) or lack some, but a column of another type raises; an empty arrival adds
+no run; an empty store reads as no rows; a failed commit leaves the former version and raises.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from .common import cut, remove, shared_dir
 
@@ -63,6 +65,15 @@ def due(runs: list[Run], fanout: int = FANOUT, most: int = MOST) -> list[Run]:
     return []
 
 
+def merged(old: StructType, new: StructType) -> StructType:
+    """The columns of both, those of the store first; all may be null."""
+    out = {f.name: StructField(f.name, f.dataType, True) for f in old}
+    for f in new:
+        if out.setdefault(f.name, StructField(f.name, f.dataType, True)).dataType != f.dataType:
+            raise ValueError(f"column {f.name} is {out[f.name].dataType.simpleString()} in the store and {f.dataType.simpleString()} in the arrival")
+    return StructType(list(out.values()))
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, root: str, target: int = TARGET, fanout: int = FANOUT):
         self.spark, self.root, self.target, self.fanout = spark, root, target, fanout
@@ -117,23 +128,24 @@ class ShardStore:
         now = self.manifest()
         path = f"{self.root}/data/{uuid.uuid4().hex}"
         number, added = now["next"], []
+        schema = df.schema if arrival is None else df.drop(arrival).schema
+        both = merged(StructType.fromJson(json.loads(now["schema"])), schema) if now["schema"] else schema
         if arrival is None:
             df.write.parquet(path, compression="zstd")
             found = [path]
-            schema = df.schema
         else:
             df.write.partitionBy(arrival).parquet(path, compression="zstd")
             found = sorted(s.getPath().toString() for s in self._fs.listStatus(self._path(path)) if s.isDirectory())
-            schema = df.drop(arrival).schema
         if found and self.spark.read.schema(schema).parquet(*found).isEmpty():
             found = []
         for p in found:
             if run := self._sized(number, p):
                 added.append(run)
                 number += 1
-        if added:
-            self.commit(now["version"], [Run(**r) for r in now["runs"]] + added, json.dumps(json.loads(now["schema"]) if now["schema"] else schema.jsonValue()), number)
-        else:
+        whole = json.dumps(both.jsonValue())
+        for k, run in enumerate(added):  # every arrival is a version of its own
+            self.commit(now["version"] + k, [Run(**r) for r in now["runs"]] + added[: k + 1], whole, run.number + 1)
+        if not added:
             remove(self.spark, path)
         return added
 
@@ -150,8 +162,9 @@ class ShardStore:
             for k, v in old.items():
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
-    def compact(self, vacuum: bool = True) -> int:
-        """Merge until no tier has enough runs; the number of merges. Every merge is a version of its own."""
+    def compact(self) -> int:
+        """Merge until no tier has enough runs; the number of merges. Every merge is a version of its own; what it
+        replaces stays for readers of older versions."""
         merges = 0
         while chosen := due(self.runs(), self.fanout):
             now = self.manifest()
@@ -164,11 +177,25 @@ class ShardStore:
             # a merge of many tiny runs may stay in its tier; alone it is not due again
             self.commit(now["version"], [Run(**r) for r in now["runs"] if r["number"] not in gone] + [merged], now["schema"], now["next"] + 1)
             merges += 1
-            if vacuum:
-                for r in chosen:
-                    remove(self.spark, r.path)
         return merges
 
+    def vacuum(self, versions: int = 1) -> int:
+        """Delete manifests older than the newest `versions`, and runs that only they list; the number of runs deleted.
+        Data that no manifest lists is left alone: it may be a write that has not committed yet."""
+        top = self.version()
+        kept = range(max(1, top - versions + 1), top + 1)
+        live = {r.path for v in kept for r in self.runs(v)}
+        gone: set[str] = set()
+        for v in range(kept.start - 1, 0, -1):
+            old = self._path(f"{self.root}/manifests/v{v:08d}.json")
+            if not self._fs.exists(old):
+                break
+            gone |= {r.path for r in self.runs(v)} - live
+            self._fs.delete(old, False)
+        for path in gone:
+            remove(self.spark, path)
+        return len(gone)
+
     def read(self, version: int | None = None, numbered: bool = False) -> DataFrame:
         """The rows of a version; numbered: with the run's number and tier in _run and _tier."""
         now = self.manifest(version)
