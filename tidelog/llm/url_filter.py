@@ -5,7 +5,8 @@ tokens that the fewest urls of the table hold; a url looks up the rules of its o
 their regular expressions. A rule without literal tokens is a candidate of every url.
 
 Defined results: a null url, or one without "://", has host and path '' and the default verdict; equal urls get
-equal verdicts; other columns are not read; an empty table gives an empty result.
+equal verdicts; host, path, rule and verdict of the result take the place of columns of these names, and other columns
+are returned as they are; without rules every url has the default verdict; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -82,8 +83,10 @@ def _filed(df: DataFrame, rules: list[Rule]) -> dict[str, list[Rule]]:
 
 def judge(df: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow", inline: int = INLINE_RULES) -> DataFrame:
     """`df` with host, path, rule and verdict. Up to `inline` rules nothing is shuffled."""
-    host, path = split_url(F.col(url))
-    df = df.withColumns({"host": host, "path": path})
+    own = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    df = df.withColumn("__llm_url", F.col(url)).select(*own, "__llm_url")
+    host, path = split_url(F.col("__llm_url"))
+    df = df.select(*own, host.alias("host"), path.alias("path"))
     filed = _filed(df, rules)
     if len(rules) > inline:
         return _judge_joined(df, filed, default)
@@ -94,24 +97,45 @@ def judge(df: DataFrame, rules: list[Rule], url: str = "url", default: str = "al
         return F.when(at.rlike(r.regex), F.struct(F.lit(r.rank).alias("rank"), F.lit(r.verdict).alias("verdict"), F.lit(r.label).cast("string").alias("label")))
 
     # `when` is lazy: a rule's expression runs only on urls that hold its token
-    hits = [F.when(F.array_contains("_tokens", t), hit(r)) for t, rs in sorted(filed.items()) for r in rs] + [hit(r) for r in everywhere]
+    hits = [F.when(F.array_contains("__llm_tokens", t), hit(r)) for t, rs in sorted(filed.items()) for r in rs] + [hit(r) for r in everywhere]
     none = F.lit(None).cast("struct<rank:int,verdict:string,label:string>")
-    df = df.withColumn("_tokens", _tokens(df)).withColumn("_best", F.array_max(F.array_compact(F.array(*hits))) if hits else none)
-    return df.select(*[c for c in df.columns if c not in ("_tokens", "_best")], F.col("_best.label").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    out = df.withColumn("__llm_tokens", _tokens(df)).withColumn("__llm_best", F.array_max(F.array_compact(F.array(*hits))) if hits else none)
+    return out.select(*df.columns, F.col("__llm_best.label").alias("rule"), F.coalesce("__llm_best.verdict", F.lit(default)).alias("verdict"))
 
 
 def _judge_joined(df: DataFrame, filed: dict[str, list[Rule]], default: str) -> DataFrame:
     """As many rules as memory on the driver holds: urls' distinct tokens meet the filed rules in a join that the
-    optimiser broadcasts or shuffles by size; hot tokens are split by adaptive execution."""
+    optimiser broadcasts or shuffles by size; hot tokens are split by adaptive execution. Rules without tokens run as
+    expressions of the scan: every url is their candidate, and none of them moves a row."""
     spark = df.sparkSession
+    everywhere = filed.pop("", [])
+    best_of = "struct<rank:int,verdict:string,label:string>"
+    plain = [F.when(F.concat("host", "path").rlike(r.regex), F.struct(F.lit(r.rank).alias("rank"), F.lit(r.verdict).alias("verdict"), F.lit(r.label).cast("string").alias("label"))) for r in everywhere]
+    found = F.array_max(F.array_compact(F.array(*plain))) if plain else F.lit(None).cast(best_of)
     index = spark.createDataFrame([(t, r.rank, r.verdict, r.label, r.regex) for t, rs in filed.items() for r in rs], "_token string, rank int, verdict string, label string, regex string")
     # equal urls share a row here, so repeated rows and any row identity cost nothing
     urls = df.select("host", "path").distinct()
-    held = urls.select("host", "path", F.explode(F.array_append(_tokens(urls), F.lit(""))).alias("_token"))
+    held = urls.select("host", "path", F.explode(_tokens(urls)).alias("_token"))
     best = (
         held.join(index, "_token")
         .where(F.expr("concat(host, path) rlike regex"))
         .groupBy("host", "path")
-        .agg(F.max(F.struct("rank", "verdict", "label")).alias("_best"))
+        .agg(F.max(F.struct("rank", "verdict", "label")).alias("__llm_best"))
     )
-    return df.join(best, ["host", "path"], "left").select(*df.columns, F.col("_best.label").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    # null structs are passed over by greatest
+    out = df.join(best, ["host", "path"], "left").withColumn("__llm_best", F.greatest(F.col("__llm_best").cast(best_of), found))
+    return out.select(*df.columns, F.col("__llm_best.label").alias("rule"), F.coalesce("__llm_best.verdict", F.lit(default)).alias("verdict"))
+
+
+#: Rules that are read from a table to the driver, which files them.
+MOST_RULES = 1_000_000
+
+
+def table_rules(rules: DataFrame, most: int = MOST_RULES) -> list[Rule]:
+    """Host rules from a table of host, path and verdict, such as a block list; rows without a host or verdict are left out,
+    repeats count once (of verdicts that differ, the greater text), and a null path counts as empty. A longer table raises."""
+    rows = rules.where("host is not null and host <> '' and verdict is not null").groupBy(lower_ascii(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path")).agg(F.max("verdict").alias("verdict"))
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"over {most} rules")
+    return [host_rule(r["host"], r["path"], r["verdict"]) for r in sorted(got)]
