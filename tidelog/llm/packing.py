@@ -5,7 +5,8 @@ within groups of equal cardinality; configurations over the few group sizes are
 the fullest sum that the sizes left allow; actual lengths then take the slots of their group; small lengths
 go best-fit into what room is left. The plan is a table of slots (length, ranks, sequence, offset), whose size
 depends on the capacity alone; pieces find their slot by their rank within their length, so nothing but the
-histogram reaches the driver and ranks are counted in salted groups.
+histogram reaches the driver. Tasks number the pieces of each length as they cut them; sums of the tasks' counts turn
+that into ranks, so no length, however common, meets in one place.
 
 Defined results: null text is empty, an empty document is one piece of one id (the separator); rows that repeat
 are packed each time; an empty table gives no pieces; other columns are not read.
@@ -14,10 +15,12 @@ are packed each time; an empty table gives no pieces; other columns are not read
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,29 +32,33 @@ SEPARATOR = 0
 #: Equal-cardinality groups of large lengths; lengths up to capacity / SMALL are small.
 GROUPS = 512
 SMALL = 3
-SALTS = 64
 
-_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("_task", pa.int32()), ("_nth", pa.int64())])
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """Every document's ids and the separator, cut into pieces of `capacity` from the end; the first may be shorter."""
+    """Every document's ids and the separator, cut into pieces of `capacity` from the end; the first may be shorter. With
+    the task that cut a piece and the number of pieces of its length that the task had cut before."""
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
+        task = TaskContext.get().partitionId()
+        cut_before: Counter[int] = Counter()
         for batch in batches:
-            out: list[list[int]] = [[], [], [], [], []]
+            out: list[list[int]] = [[] for _ in _PIECES]
             for i, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text"), strict=True):
                 ids = np.array([*encode(text.as_py() or ""), SEPARATOR], "<u4")
                 first = len(ids) % capacity or capacity
                 for k, a in enumerate([0, *range(first, len(ids), capacity)]):
                     part = ids[a : a + capacity] if a else ids[:first]
-                    for col, x in zip(out, (i, k, a, len(part), zlib.crc32(part.tobytes())), strict=True):
+                    n = len(part)
+                    for col, x in zip(out, (i, k, a, n, zlib.crc32(part.tobytes()), task, cut_before[n]), strict=True):
                         col.append(x)
+                    cut_before[n] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PIECES, strict=True)], schema=_PIECES)
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, _task int, _nth long")
 
 
 class _Runs:
@@ -187,17 +194,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cut_pieces with sequence_id and offset; it is read twice, so pass one that is materialised."""
     spark = cut_pieces.sparkSession
-    salted = cut_pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
-    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
-    before = counts.select("length", "_salt", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    counts = cut(cut_pieces.groupBy("length", "_task").agg(F.count("*").alias("n")))
+    before = counts.select("length", "_task", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     # at most `capacity` rows
     hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = spark.createDataFrame(plan(hist, capacity) or [(0, 0, 0, 0, 1, 0)], "length long, _from long, _to long, _first long, _each long, _base long")
-    ranked = (
-        salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1)
-        .join(before, ["length", "_salt"])
-        .withColumn("_rank", F.col("_rank") + F.col("_before"))
-    )
+    ranked = cut_pieces.join(before, ["length", "_task"]).withColumn("_rank", F.col("_nth") + F.col("_before"))
     k = F.col("_rank") - F.col("_from")
     return (
         # the slots' number is bounded by the capacity, not by the documents
