@@ -2,8 +2,10 @@
 
 Texts become some thirty statistics (letter, symbol and repetition shares). A logistic model over them and their
 squares minimises the non-negative unbiased risk: trusted positives (documents labelled 1), unlabelled web text (a
-sample of all documents) and the class prior, which is estimated from the labels' share of 1. Labels come only from
-rows whose crc32(doc_id as text) mod 5 is not 0.
+sample of all documents) and the class prior. The prior is estimated from positives and unlabelled texts alone: a probe
+separates the two on one half of each; on the other half, the share of unlabelled over the share of positive texts
+above a score is an upper bound of the prior, and it is taken at the score where it and its deviation are least. Labels
+come only from rows whose crc32(doc_id as text) mod 5 is not 0; label 0 is never used.
 
 Bounds, all parameters: at most `positives` labelled rows and `unlabelled` rows, each those of the lowest hashes of
 their ids, so a larger table gives another sample and not a larger one. Every document is scored.
@@ -114,6 +116,25 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(centre, spread, w)
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 200) -> float:
+    """Share of positives among unlabelled rows, between 0.02 and 0.98. Rows come in an order that says nothing of them."""
+    if len(positive) < 2 or len(unlabelled) < 2:
+        return 0.5
+    centre, spread = unlabelled.mean(0), unlabelled.std(0) + 1e-6
+    (p, held_p), (u, held_u) = (((d := Model.design(x, centre, spread))[::2], d[1::2]) for x in (positive, unlabelled))
+    w = np.zeros(p.shape[1])
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for k in range(1, steps + 1):
+        g = p.T @ (1 / (1 + np.exp(-p @ w)) - 1) / len(p) + u.T @ (1 / (1 + np.exp(-u @ w))) / len(u) + 1e-2 * np.r_[0, w[1:]]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+    sp, su = np.sort(held_p @ w), np.sort(held_u @ w)
+    over_p, over_u = (1 - np.searchsorted(s, sp) / len(s) for s in (sp, su))
+    wide = np.sqrt(np.log(40) / 2) * (len(sp) ** -0.5 + len(su) ** -0.5)
+    best = np.argmin((over_u + wide) / over_p)
+    return float(np.clip(over_u[best] / over_p[best], 0.02, 0.98))
+
+
 def _measured(rows: DataFrame) -> DataFrame:
     """doc_id, role and statistics of a bounded number of rows."""
 
@@ -129,19 +150,16 @@ def _measured(rows: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where(~held_out(F.col("doc_id")))
-    share = known.agg(F.avg((F.col("quality") == 1).cast("double")).alias("p")).first()["p"]
-    if not share:
-        return None
     lowest = lambda df, n, role: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id", F.lit(role).alias("role"))
     trusted = lowest(known.where("quality = 1"), positives, 1)
     web = lowest(docs.where("doc_id is not null").select("doc_id"), unlabelled, 0)
-    # bounded by the two parameters, so small enough to broadcast
-    rows = docs.join(F.broadcast(trusted.unionByName(web)), "doc_id")
+    # bounded by the two parameters, so small enough to broadcast; of rows that repeat an id one text counts
+    rows = docs.join(F.broadcast(trusted.unionByName(web.distinct())), "doc_id").groupBy("doc_id", "role").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     got = sorted(((r["doc_id"], r["role"], r["x"]) for r in _measured(rows).collect()), key=lambda r: (r[1], r[0]))
     x = {role: np.array([r[2] for r in got if r[1] == role]).reshape(-1, N_STATISTICS) for role in (0, 1)}
     if not len(x[1]) or not len(x[0]):
         return None
-    return fit(x[1], x[0], min(max(share, 0.02), 0.98))
+    return fit(x[1], x[0], estimated_prior(x[1], x[0]))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
