@@ -72,6 +72,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, broadca
     found = cut(windows(items, size))
     bounded = found.count() <= broadcast_windows
     index = filed(found, docs, bounded)
+    if not bounded:
+        return _joined(docs, index)
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), raw_words("text").alias("w"))
     each = rows.select("doc_id", "_row", "w", F.posexplode_outer("w").alias("pos", "word")).withColumn("word", lowered(F.col("word")))
     first = F.col("pos") - F.col("off")
@@ -79,11 +81,27 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, broadca
     exact = lowered(F.concat_ws(" ", F.slice("w", F.greatest(first, F.lit(0)) + 1, F.col("n")))) == F.col("window")
     kept = F.col("window").isNotNull() | F.coalesce(F.col("pos") == 0, F.lit(True))
     span = [F.when(F.col("window").isNotNull(), first).alias("start"), F.when(F.col("window").isNotNull(), first + F.col("n")).alias("stop")]
-    if bounded:
-        matches = each.join(F.broadcast(cut(index)), inside & exact, "left").where(kept).select("doc_id", "_row", F.size("w").alias("n_words"), *span, "item_id")
-    else:
-        near = each.select("_row", "pos", "word", F.size("w").alias("size")).join(cut(index), (F.col("word") == F.col("token")) & (first >= 0) & (first + F.col("n") <= F.col("size"))).select("_row", "pos", "off", "n", "window", "item_id")
-        met = rows.join(near, "_row", "left")
-        matches = met.where(F.col("window").isNull() | exact).select("doc_id", "_row", F.size("w").alias("n_words"), *span, "item_id")
-        matches = matches.unionByName(rows.select("doc_id", "_row", F.size("w").alias("n_words"), *[F.lit(None).cast("int").alias(c) for c in ("start", "stop")], F.lit(None).cast("long").alias("item_id")))
+    matches = each.join(F.broadcast(cut(index)), inside & exact, "left").where(kept).select("doc_id", "_row", F.size("w").alias("n_words"), *span, "item_id")
     return _summed(matches, ["doc_id", "_row"]).drop("_row")
+
+
+def _joined(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """With any number of windows: words and windows meet by a shuffle. Rows are told apart by their id and a hash of their
+    text, which every evaluation gives alike; rows that repeat share a judgement and each get it."""
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"), raw_words("text").alias("w"))
+    index = cut(index)
+    words = rows.select("doc_id", "_row", F.size("w").alias("size"), F.posexplode("w").alias("pos", "word"))
+    first = F.col("pos") - F.col("off")
+    near = words.withColumn("token", lowered(F.col("word"))).join(index, "token").where((first >= 0) & (first + F.col("n") <= F.col("size")))
+    near = cut(near.select("doc_id", "_row", first.alias("first"), "n", "window", "item_id").distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("_row") == F.col("at_row"))
+    met = rows.join(near.withColumnsRenamed({"doc_id": "at_doc", "_row": "at_row"}), same)
+    hits = met.where(lowered(F.concat_ws(" ", F.slice("w", F.col("first") + 1, F.col("n")))) == F.col("window"))
+    hits = hits.select("doc_id", "_row", F.size("w").alias("n_words"), F.col("first").alias("start"), (F.col("first") + F.col("n")).alias("stop"), "item_id")
+    found = _summed(hits, ["doc_id", "_row"]).drop("n_words").withColumnsRenamed({"doc_id": "at_doc", "_row": "at_row"})
+    out = rows.join(found, same, "left")
+    none = F.array().cast("array<string>")
+    return out.select(
+        "doc_id", F.size("w").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.coalesce("contaminated", F.lit(False)).alias("contaminated"), F.coalesce("items", none).alias("items"),
+    )
