@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir, or our own where that is unset."""
+    """The folder that driver and executors share: the cluster's spark.checkpoint.dir; one of our own only where that is
+    unset and all run in one process."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -33,7 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise a small frame in the shared folder; later reads survive the loss of any executor."""
+    """Materialise a small frame in the shared folder; later reads survive the loss of any executor. Spark removes the
+    files when the frame is no longer referenced, if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
