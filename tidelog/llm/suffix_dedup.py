@@ -46,14 +46,18 @@ GRAM = 20
 RUN_ANCHORS = 400_000
 RANGE_BYTES = 8 << 20
 RUN_ENTRIES = 100_000
-RANGE_ENTRIES = 60_000
+RANGE_ENTRIES = 150_000
+#: Documents (about) whose shared anchors are gathered at once.
+BUCKET = 4096
 #: Most pieces that a run is cut into at once, and bytes of text that are sampled for splitters.
 FAN = 4096
 SAMPLE_BYTES = 32 << 20
 #: Texts are read in overlapping segments whose arrays stay in the cache.
 SEGMENT = 96 << 10
 _PLACES = 24  # bits for a place in a segment beside the hash
-#: Ids (8 bytes each) that may be broadcast to pick the texts with shared anchors.
+#: Tasks of an exchange at most.
+MOST_TASKS = 20_000
+#: Keys of groups of copies, and of rows that lose something, that may be broadcast.
 BROADCAST_IDS = 1_000_000
 #: Exact copies of one text from which a group is broadcast instead of joined.
 HOT_COPIES = 10_000
@@ -95,8 +99,8 @@ def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((mixed(hashes + np.uint64(0xA5A5)) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-_ANCHORS = pa.schema([("range", pa.int64()), ("doc_id", pa.int64()), ("docs", pa.binary()), ("texts", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("shared", pa.binary())])
-_ANCHORS_SQL = "range long, doc_id long, docs binary, texts binary, counts binary, hashes binary, shared binary"
+_ANCHORS = pa.schema([("range", pa.int64()), ("docs", pa.binary()), ("texts", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("shared", pa.binary())])
+_ANCHORS_SQL = "range long, docs binary, texts binary, counts binary, hashes binary, shared binary"
 #: Bytes of an anchor's hash that are sent; a false match only lets a window go on to the exact merge.
 SENT = 6
 _LOW = np.uint64((1 << 8 * SENT) - 1)
@@ -154,13 +158,17 @@ class Anchors:
         self.told[first] |= shared
         return tell, first
 
-    def told_rows(self, i: np.ndarray) -> tuple[list[int], list[bytes]]:
-        """Documents and their hashes at these places."""
-        i = i[np.argsort(self.doc[i], kind="stable")]
-        ends = _by_group(self.doc[i])
-        return [int(self.doc[i[a]]) for a in ends[:-1]], [_packed(self.h[i[a:b]]) for a, b in zip(ends, ends[1:], strict=False)]
+    def told_rows(self, i: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        """Bucket, documents, counts and hashes of what there is to tell at these places."""
+        of = _buckets(self.doc[i], buckets)
+        order = np.lexsort((self.doc[i], of))
+        i, of = i[order], of[order]
+        cuts = _by_group(of)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            ends = _by_group(self.doc[i[a:b]])
+            yield int(of[a]), self.doc[i[a:b]][ends[:-1]].tobytes(), np.diff(ends).astype("<u4").tobytes(), _packed(self.h[i[a:b]])
 
-    def dealt(self, n_ranges: int) -> pa.RecordBatch:
+    def dealt(self, n_ranges: int, buckets: int) -> pa.RecordBatch:
         """Rows of two kinds: one entry a hash by range, laid out by document; and what this run alone can tell."""
         tell, first = self.met()
         out: list[list] = [[] for _ in _ANCHORS]
@@ -178,13 +186,13 @@ class Anchors:
             i = first[a:b]
             ends = np.flatnonzero(np.r_[True, (self.doc[i][1:] != self.doc[i][:-1]) | (self.text[i][1:] != self.text[i][:-1]), True])
             own = i[ends[:-1]]
-            add(int(rng[a]), None, self.doc[own].tobytes(), self.text[own].tobytes(), np.diff(ends).astype("<u4").tobytes(), _packed(self.h[i]), np.packbits(self.told[i]).tobytes())
-        for doc, hashes in zip(*self.told_rows(tell), strict=True):
-            add(-1 - doc % n_ranges, doc, None, None, None, hashes, None)
+            add(int(rng[a]), self.doc[own].tobytes(), self.text[own].tobytes(), np.diff(ends).astype("<u4").tobytes(), _packed(self.h[i]), np.packbits(self.told[i]).tobytes())
+        for bucket, docs, counts, hashes in self.told_rows(tell, buckets):
+            add(-1 - bucket, docs, None, counts, hashes, None)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ANCHORS, strict=True)], schema=_ANCHORS)
 
 
-def _anchor_runs(docs: DataFrame, n_ranges: int) -> DataFrame:
+def _anchor_runs(docs: DataFrame, n_ranges: int, buckets: int) -> DataFrame:
     """Anchors of runs of documents, dealt by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,15 +216,15 @@ def _anchor_runs(docs: DataFrame, n_ranges: int) -> DataFrame:
                 parts.append((ids[row[keep]], texts[row[keep]], h[s[keep]] & _LOW, np.zeros(int(keep.sum()), bool)))
                 held += len(parts[-1][0])
                 if held >= RUN_ANCHORS:
-                    yield joined().dealt(n_ranges)
+                    yield joined().dealt(n_ranges, buckets)
                     parts, held = [], 0
         if held:
-            yield joined().dealt(n_ranges)
+            yield joined().dealt(n_ranges, buckets)
 
     return docs.select("doc_id", "text_hash", "text").mapInArrow(run, _ANCHORS_SQL)
 
 
-def _dealt_again(runs: DataFrame, n_ranges: int) -> DataFrame:
+def _dealt_again(runs: DataFrame, n_ranges: int, buckets: int) -> DataFrame:
     """Runs of few ranges, gathered by range and dealt into n_ranges (a multiple): pieces are as long as before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,31 +237,50 @@ def _dealt_again(runs: DataFrame, n_ranges: int) -> DataFrame:
                 rows.append((batch, int(k)))
                 held += column(batch, "hashes")[int(k)].as_buffer().size // SENT
                 if held >= RUN_ANCHORS:
-                    yield Anchors.read(rows).dealt(n_ranges)
+                    yield Anchors.read(rows).dealt(n_ranges, buckets)
                     rows, held = [], 0
         if held:
-            yield Anchors.read(rows).dealt(n_ranges)
+            yield Anchors.read(rows).dealt(n_ranges, buckets)
 
     return runs.repartition("range").sortWithinPartitions("range").mapInArrow(run, _ANCHORS_SQL)
 
 
-def _shared_anchors(docs: DataFrame, n_ranges: int, fan: int) -> DataFrame:
-    """(doc_id, hashes) of the anchors that two different texts hold."""
+def _buckets(doc: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _by(runs: DataFrame, key: str, groups: int) -> DataFrame:
+    """runs grouped by key, in about as many tasks as there are groups, so that a task does not grow with the input."""
+    return runs.repartition(min(max(2 * groups, 24), MOST_TASKS), key).groupBy(key)
+
+
+def _shared_anchors(docs: DataFrame, n_ranges: int, fan: int, buckets: int) -> DataFrame:
+    """(doc_id, hashes) of the anchors that two different texts hold, one row a document."""
     if n_ranges > fan:
-        runs = _dealt_again(_anchor_runs(docs, fan), -(-n_ranges // fan) * fan)
+        n_ranges = -(-n_ranges // fan) * fan
+        runs = _dealt_again(_anchor_runs(docs, fan, buckets), n_ranges, buckets)
     else:
-        runs = _anchor_runs(docs, n_ranges)
+        runs = _anchor_runs(docs, n_ranges, buckets)
+    told = "bucket long, docs binary, counts binary, hashes binary"
 
     def meet(t: pa.Table) -> pa.Table:
-        if t["range"][0].as_py() < 0:
-            return t.select(["doc_id", "hashes"])
+        if (at := t["range"][0].as_py()) < 0:
+            return pa.table({"bucket": pa.array(np.full(t.num_rows, -1 - at, np.int64)), "docs": t["docs"], "counts": t["counts"], "hashes": t["hashes"]})
         found = Anchors.read([(batch, k) for batch in t.to_batches() for k in range(batch.num_rows)])
         tell, _ = found.met()
-        ids, hashes = found.told_rows(tell)
+        rows = list(zip(*found.told_rows(tell, buckets), strict=True)) or [()] * 4
         give_back()
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "hashes": pa.array(hashes, pa.binary())})
+        return pa.table([pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "docs", "counts", "hashes"])
+
+    def gather(t: pa.Table) -> pa.Table:
+        raw = {c: b"".join(x.as_py() for chunk in t[c].chunks for x in chunk) for c in ("docs", "counts", "hashes")}
+        doc, h = np.repeat(np.frombuffer(raw["docs"], np.int64), np.frombuffer(raw["counts"], "<u4")), _unpacked(raw["hashes"])
+        order = np.lexsort((h, doc))
+        doc, h = doc[order], h[order]
+        ends = _by_group(doc)
+        return pa.table({"doc_id": pa.array(doc[ends[:-1]], pa.int64()), "hashes": pa.array([_packed(h[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())})
 
-    return runs.groupBy("range").applyInArrow(meet, "doc_id long, hashes binary")
+    return _by(_by(runs, "range", n_ranges + buckets).applyInArrow(meet, told), "bucket", buckets).applyInArrow(gather, "doc_id long, hashes binary")
 
 
 _RUNS = pa.schema([("range", pa.int64()), *((c, pa.binary()) for c in ("low", "high", "shared", "size", "rest", "left_size", "left", "docs", "keys", "places")), ("doc_id", pa.int64()), ("key", pa.int64()), ("removed", pa.binary())])
@@ -365,7 +392,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _entries(texts: DataFrame, use, schema: str) -> DataFrame:
-    """use(iterator of Entries) of every partition's texts: doc_id, key, text, hashes (lists of shared anchors' hashes)."""
+    """use(iterator of Entries) of every partition's texts: doc_id, key, text, hashes (of its shared anchors)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[Entries]:
         for batch in batches:
@@ -376,10 +403,9 @@ def _entries(texts: DataFrame, use, schema: str) -> DataFrame:
                 ok = _valid(offsets, len(flat))
                 row = np.repeat(np.arange(b - a), np.diff(offsets))[: len(at)]
                 for i in range(a, b):
-                    known = [_unpacked(x.as_buffer()) for x in shared[i]]
                     x, y = offsets[i - a], min(offsets[i - a + 1], len(at))
                     if y > x:
-                        ok[x:y] &= np.isin(h[x:y] & _LOW, np.concatenate(known)) if known else False
+                        ok[x:y] &= np.isin(h[x:y] & _LOW, _unpacked(shared[i].as_buffer()))
                 if not ok.any():
                     continue
                 starts = np.flatnonzero(ok & np.r_[True, ~ok[:-1] | (at[1:] != at[:-1])])
@@ -390,6 +416,20 @@ def _entries(texts: DataFrame, use, schema: str) -> DataFrame:
     return texts.select("doc_id", "key", "text", "hashes").mapInArrow(lambda batches: use(found(batches)), schema)
 
 
+def _at_grams(picked: np.ndarray) -> np.ndarray:
+    """Splitters moved to the start of their anchor's gram, which no window crosses. Where several fall into one gram, that
+    gram fills ranges of its own: its start, the splitters inside as they are, and its end."""
+    out: list[bytes] = []
+    whole = [x.ljust(PLACE, b"\0") for x in picked.tolist()]
+    grams = [x[:GRAM] for x in whole]
+    for k, (x, gram) in enumerate(zip(whole, grams, strict=True)):
+        out.append(gram)
+        if gram in (grams[k - 1] if k else None, grams[k + 1] if k + 1 < len(grams) else None):
+            after = int.from_bytes(gram, "big") + 1
+            out += [x, *([after.to_bytes(GRAM, "big")] if after >> 8 * GRAM == 0 else [])]
+    return np.unique(np.array([x.ljust(PLACE, b"\0") for x in out], f"S{PLACE}"))
+
+
 def _splitters(texts: DataFrame, total: int, fan: int, range_entries: int) -> tuple[np.ndarray, int]:
     """Places that cut the entries of texts (total bytes) into equal parts, at most `fan`, and how many ranges are wanted.
     Texts are sampled by the hash of their key, about SAMPLE_BYTES of them at any size."""
@@ -405,7 +445,7 @@ def _splitters(texts: DataFrame, total: int, fan: int, range_entries: int) -> tu
     got = np.sort(np.array([r[0] for r in _entries(drawn, use, "place binary").collect()], f"S{PLACE}"))
     wanted = max(1, round(len(got) * thin / part / range_entries))
     n = min(wanted, fan)
-    return np.unique(got[np.arange(1, n) * len(got) // n]) if n > 1 else got[:0], wanted
+    return _at_grams(got[np.arange(1, n) * len(got) // n]) if n > 1 else got[:0], wanted
 
 
 def _suffix_runs(texts: DataFrame, splitters: np.ndarray) -> DataFrame:
@@ -463,8 +503,8 @@ def _runs_again(runs: DataFrame, fan: int, per: int) -> DataFrame:
             kept, gone = _settled(_in_order(_decoded(pieces).taken(order)))
             if splitters is None:
                 n = min(per, fan, len(kept.doc))
-                splitters = np.unique(_places(kept)[np.arange(1, n) * len(kept.doc) // n]) if n > 1 else _places(kept)[:0]
-            yield _batch([*_cut_at(kept, splitters, now * fan, *around), *_aside(gone, per * 64)])
+                splitters = _at_grams(_places(kept)[np.arange(1, n) * len(kept.doc) // n]) if n > 1 else _places(kept)[:0]
+            yield _batch([*_cut_at(kept, splitters, now * 4 * fan, *around), *_aside(gone, per * 64)])
 
         for batch in batches:
             aside = pc.less(column(batch, "range"), 0)
@@ -618,7 +658,7 @@ def _digests(e: Entries, of: np.ndarray, o: int) -> tuple[np.ndarray, np.ndarray
 _SPANS = "doc_id long, key long, removed binary, a long, b long, place long, o int"
 
 
-def _merged(runs: DataFrame) -> DataFrame:
+def _merged(runs: DataFrame, n_ranges: int) -> DataFrame:
     """Of every range: doc_id, key, removed (spans that a smaller id holds), or, with a removed of null, a window that
     another range may hold too: its digest (a, b), place and o."""
 
@@ -634,7 +674,7 @@ def _merged(runs: DataFrame) -> DataFrame:
         size, left_size = e.size.astype(np.int64), e.left_size.astype(np.int64)
         reach = np.zeros(len(size), np.int64)
         for splitter, at, towards in ((t["low"][0].as_py(), 0, common), (t["high"][0].as_py(), -1, np.r_[common[1:], 0][::-1])):
-            if splitter:
+            if splitter and (splitter[WINDOW] or at):  # no window begins before a gram's start and reaches over it
                 ends = int(_common(np.frombuffer(splitter[:WINDOW], np.uint8)[None], e.right[at][None])[0])
                 far = np.minimum.accumulate(np.r_[ends, towards[1:]])
                 reach = np.maximum(reach, far if at == 0 else far[::-1])
@@ -651,7 +691,7 @@ def _merged(runs: DataFrame) -> DataFrame:
         give_back()
         return pa.concat_tables(table)
 
-    return runs.groupBy("range").applyInArrow(meet, _SPANS)
+    return _by(runs, "range", 2 * n_ranges).applyInArrow(meet, _SPANS)
 
 
 def _spans(merged: DataFrame) -> DataFrame:
@@ -728,25 +768,24 @@ def deduplicate(docs: DataFrame, fan: int = FAN, range_bytes: int = RANGE_BYTES,
     with Scratch(spark) as scratch:
         whole = scratch.keep(docs.select("doc_id", "key", "n_bytes", F.sha2("text", 256).alias("sha")), "whole")
         whole = scratch.keep(_with_copies(whole, hot), "copies")
-        total = whole.agg(F.sum("n_bytes")).first()[0] or 0
+        n, total = whole.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
 
         long = docs.where(f"doc_id is not null and n_bytes >= {WINDOW}")
-        shared = _shared_anchors(long, max(24, -(-total // range_bytes)), fan)
-        told = scratch.keep(shared.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes")), "told")
+        shared = scratch.keep(_shared_anchors(long, max(24, -(-total // range_bytes)), fan, -(-n // BUCKET) or 1), "shared")
         # one row a distinct text and id, without copies
-        going = scratch.keep(whole.where("not copy").select("doc_id", "key", "n_bytes").distinct().join(told.select("doc_id"), "doc_id", "left_semi"), "going")
-        n, total = going.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
-        picked = going.select("doc_id", "key")
-        if n <= BROADCAST_IDS:
-            picked = F.broadcast(picked)
-        texts = long.select("doc_id", "key", F.col("text").cast("binary").alias("text")).join(picked, ["doc_id", "key"], "left_semi")
-        texts = scratch.keep(texts.join(told, "doc_id"), "texts")
+        told = scratch.keep(whole.where("not copy").select("doc_id", "key", "n_bytes").distinct().join(shared, "doc_id"), "told")
+        scratch.drop("shared")
+        total = told.agg(F.sum("n_bytes")).first()[0] or 0
+        texts = long.select("doc_id", "key", F.col("text").cast("binary").alias("text")).join(told.drop("n_bytes"), ["doc_id", "key"])
+        texts = scratch.keep(texts, "texts")
         scratch.drop("told")
         splitters, wanted = _splitters(texts, total, fan, range_entries)
+        n_ranges = len(splitters) + 1
         runs = _suffix_runs(texts, splitters)
         if wanted > fan:
-            runs = scratch.keep(_runs_again(runs, fan, -(-2 * wanted // fan)), "runs")
-        spans = _spans(scratch.keep(_merged(runs), "merged"))
+            runs = scratch.keep(_runs_again(runs, fan, per := -(-2 * wanted // fan)), "runs")
+            n_ranges *= per
+        spans = _spans(scratch.keep(_merged(runs, n_ranges), "merged"))
         # equal rows share a key
         partly = scratch.keep(_cut_out(texts.select("doc_id", "key", "text").join(spans, ["doc_id", "key"])).dropDuplicates(["doc_id", "key"]), "partly")
 
