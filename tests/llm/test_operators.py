@@ -164,16 +164,72 @@ def test_store(spark, docs, none, tmp_path):
     for i in range(3):
         store.append(docs)
     assert store.version() == 3 and store.compact() == 0
-    store.append(docs.withColumn("a", F.pmod("n_chars", F.lit(2))), "a")
-    assert store.version() == 4 and len(store.runs()) == 5
+    # one version an arrival
+    assert len(store.append(docs.withColumn("a", F.pmod("n_chars", F.lit(2))), "a")) == 2
+    assert store.version() == 5 and len(store.runs()) == 5
     before = store.read().count()
     assert before == 4 * docs.count()
-    assert store.compact(vacuum=False) == 1 and [r.merged for r in store.runs()] == [5]
-    assert store.read().count() == before == store.read(version=4).count()
+    assert store.compact() == 1 and [r.merged for r in store.runs()] == [5]
+    assert store.read().count() == before == store.read(version=5).count()
     assert got(store.read(), *docs.columns) == Counter({k: 4 * n for k, n in got(docs, *docs.columns).items()})
     with pytest.raises(sharding.CommitConflict):
-        store.commit(4, [], None, 1)
-    assert store.version() == 5
+        store.commit(5, [], None, 1)
+    assert store.version() == 6
+
+
+def test_readers_keep_their_version_until_vacuum(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    for i in range(4):
+        store.append(spark.range(i * 10, i * 10 + 10))
+    reader = store.read()
+    assert store.compact() == 1 and reader.count() == 40
+    assert store.vacuum(versions=2) == 0 and reader.count() == 40
+    assert store.vacuum() == 4 and store.read().count() == 40 and store.version() == 5
+    assert store.vacuum() == 0 and store.compact() == 0
+    store.append(spark.range(40, 50))
+    assert store.read().count() == 50
+
+
+def test_arrivals_with_other_columns(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    store.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    store.append(spark.createDataFrame([(2, "b", 0.5)], "doc_id long, text string, _run double"))
+    store.append(spark.createDataFrame([("c",), (None,)], "text string"))
+    store.append(spark.createDataFrame([(4, "d", True)], "doc_id long, text string, flag boolean"))
+    want = Counter({(1, "a", None, None): 1, (2, "b", 0.5, None): 1, (None, "c", None, None): 1, (None, None, None, None): 1, (4, "d", None, True): 1})
+    assert got(store.read(), "doc_id", "text", "_run", "flag") == want
+    assert store.compact() == 1 and got(store.read(), "doc_id", "text", "_run", "flag") == want
+    store.vacuum()
+    assert got(store.read(), "doc_id", "text", "_run", "flag") == want
+    with pytest.raises(ValueError, match="doc_id"):
+        store.append(spark.createDataFrame([("x",)], "doc_id string"))
+    assert store.version() == 5 and got(store.read(), "doc_id", "text", "_run", "flag") == want
+
+
+def test_compaction_against_a_plain_simulation(spark, tmp_path):
+    """Which arrivals lie in which run after every compaction, told by the ids in it."""
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", fanout=3)
+    rng = random.Random(4)
+    plain: dict[frozenset, int] = {}  # arrivals of a run, bytes
+    for i in range(8):
+        wide = rng.random() < 0.5
+        store.append(spark.range(0, 400 if wide else 5, 1, 1).selectExpr(f"{i} as i", "concat_ws(' ', transform(sequence(1, 600), x -> hex(xxhash64(id, x)))) as text"))
+        now = {r.number: r for r in store.runs()}
+        plain[frozenset([i])] = now[max(now)].bytes
+        store.compact()
+        inside = store.read(numbered=True).groupBy("_run").agg(F.collect_set("i").alias("i")).collect()
+        size = {frozenset(r["i"]): next(x.bytes for x in store.runs() if x.number == r["_run"]) for r in inside}
+        while True:
+            tiers = defaultdict(list)
+            for k, v in plain.items():
+                tiers[0 if v <= 1 << 20 else 1 + int(np.floor(np.log(v / (1 << 20)) / np.log(4)))].append(k)
+            full = [t for t in sorted(tiers) if len(tiers[t]) >= 3]
+            if not full:
+                break
+            whole = frozenset().union(*tiers[full[0]])
+            merged_size = sum(plain.pop(k) for k in tiers[full[0]])
+            plain[whole] = size.get(whole, merged_size)
+        assert set(plain) == set(size)
 
 
 def test_stored_documents(docs, rows, none):
@@ -215,6 +271,27 @@ def test_url_rules(spark, inline):
     assert url_filter.judge(df.limit(0).select("page_id", "url"), url_filter.CONTRACT_RULES, inline=inline).count() == 0
 
 
+@pytest.mark.parametrize("inline", [256, 0])
+def test_url_rules_beside_columns_of_the_same_names(spark, inline):
+    df = spark.createDataFrame([(1, "x://a.net/", "v", "h", 3)], "page_id long, url string, verdict string, host string, _token int")
+    out = url_filter.judge(df, url_filter.CONTRACT_RULES, inline=inline)
+    assert out.columns == ["page_id", "url", "_token", "host", "path", "rule", "verdict"] and [tuple(r) for r in out.collect()] == [(1, "x://a.net/", 3, "a.net", "/", "net/", "block")]
+    named = df.select(F.col("url").alias("host"), "page_id")
+    assert [tuple(r) for r in url_filter.judge(named, url_filter.CONTRACT_RULES, url="host", inline=inline).collect()] == [(1, "a.net", "/", "net/", "block")]
+
+
+def test_rules_from_a_table(spark):
+    rows = [(h, p, v) for h, p, v in RULES] + [(f"h{i}.com", None, "block") for i in range(300)] + [("h1.com", None, "block"), (None, "/", "block"), ("h2.com", "/ok", "allow"), ("x.com", "/", None)]
+    rules = url_filter.table_rules(spark.createDataFrame(rows, "host string, path string, verdict string"))
+    assert len(rules) == 305
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([*URLS, "a://H2.com/ok/1", "a://www.h7.com", "a://h2.com/no"])], "page_id long, url string")
+    plain = {r[0]: r for r in brute.urls([tuple(r) for r in df.collect()], [(h, p or "", v) for h, p, v in rows if h and v])}
+    for r in url_filter.judge(df, rules).collect():
+        assert (r["rule"], r["verdict"]) == (plain[r["page_id"]][3], plain[r["page_id"]][4] or "allow"), r
+    with pytest.raises(ValueError, match="rules"):
+        url_filter.table_rules(spark.createDataFrame(rows, "host string, path string, verdict string"), most=10)
+
+
 def test_rules_without_tokens(spark):
     df = spark.createDataFrame([("http://a/",), ("http://b/",)], "url string")
     for inline in (0, 10):
@@ -356,6 +433,9 @@ def test_decontamination(spark, bound):
     assert got(decontamination.decontaminate(docs, bench, broadcast_windows=bound), *cols) == Counter(brute.leaks(rows, items))
     assert got(decontamination.decontaminate(docs, bench.limit(0), broadcast_windows=bound), *cols) == Counter(brute.leaks(rows, []))
     assert decontamination.decontaminate(docs.limit(0), bench, broadcast_windows=bound).count() == 0
+    # ids of another type, and a shuffle in front, give the same
+    named = bench.withColumn("item_id", F.col("item_id").cast("string"))
+    assert got(decontamination.decontaminate(docs.repartition(5), named, broadcast_windows=bound), *cols) == Counter(brute.leaks(rows, items))
 
 
 # 7
@@ -385,6 +465,15 @@ def test_classifier_without_labels(docs, rows, spark):
     assert quality.classify(docs, odd).count() == len(rows) and quality.classify(docs.limit(0), odd).count() == 0
 
 
+def test_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(2)
+    for share in (0.2, 0.5, 0.85):
+        n = int(4000 * share)
+        mixed = np.r_[rng.normal(1.5, 1, (n, 4)), rng.normal(-1.5, 1, (4000 - n, 4))][rng.permutation(4000)]
+        assert abs(quality.estimated_prior(rng.normal(1.5, 1, (2000, 4)), mixed) - share) < 0.06
+    assert quality.estimated_prior(np.zeros((1, 3)), np.zeros((9, 3))) == 0.5
+
+
 def test_non_negative_risk_separates():
     rng = np.random.default_rng(1)
     good, bad = rng.normal(1, 1, (400, 3)), rng.normal(-2, 1, (400, 3))
@@ -402,6 +491,7 @@ def test_repeats(docs, rows, monkeypatch, sizes):
         monkeypatch.setattr(suffix_dedup, "BROADCAST_IDS", 0 if "fan" in sizes else 1_000_000)
         monkeypatch.setattr(suffix_dedup, "RUN_ENTRIES", 150)
         monkeypatch.setattr(suffix_dedup, "RUN_ANCHORS", 300)
+        monkeypatch.setattr(suffix_dedup, "BUCKET", 16)
     out = suffix_dedup.deduplicate(docs, **sizes).cache()
     plain = brute.repeats(rows)
     shown = out.select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("int").alias("s"), "kept_sha256")

@@ -7,10 +7,14 @@
    number of lists that a pair shares; a pair needs as many as its unfrequented values less SLACK (of 32 values at
    0.8, over 20 differ once in 10 ** 7), or, if one set is whole in its sketch, less what they can differ by at most.
 3. Values in longer lists are frequent. Classes with more than SLACK other values are found by those. For the rest
-   ("dense" classes: little but frequent values), each of their long lists first links its classes with two leaders:
-   the class of the most frequent values, which is what near copies were made from, and the least; lists that still
-   hold several components afterwards are compared in blocks of bounded size, between classes of different components
-   only, on sets up to WIDE values and on as many of larger ones.
+   ("dense" classes: little but frequent values), each of their long lists links its classes with two leaders: the class
+   of the most frequent values, which is what near copies were made from, and the least. Dense classes that still share
+   a frequent value with another component are joined exactly, on whole sets: only values that several components
+   hold count, a class with too few of them is done, and the others need one in common among their rarest, as many as
+   they can miss and one more. A class with a fifth of its own values never meets anybody so, however long the list.
+   Short lists of these give pairs; long ones are compared in blocks of bounded size, between classes of different
+   components only, on sets up to WIDE values and on as many of larger ones (five deviations under what a pair at
+   the threshold shows; all that passes is verified).
 4. Union sketches estimate the Jaccard of candidates and drop those under FLOOR; the rest is verified on whole sets:
    first the best candidate of each class, then, once components are known, what would still join two.
 
@@ -184,11 +188,43 @@ def close_pairs(n: np.ndarray, component: np.ndarray, values: list[np.ndarray],
     return i[joins], j[joins]
 
 
+def _apart(dense: DataFrame, known: DataFrame) -> DataFrame:
+    """x, n, component of the dense classes (x, n, hot) that share a frequent value with another component."""
+    of = dense.join(known.withColumnRenamed("id", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+    each = of.select("x", "n", "component", F.explode("hot").alias("v"))
+    lists = each.groupBy("v").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("v")
+    return each.join(lists, "v").select("x", "n", "component").distinct()
+
+
+def _prefixes(apart: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """v, x, n, component: of each class the rarest values that it can share with another component, so many that any
+    partner has one of them among its own; and only those that classes of several components hold so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, values = np.asarray(column(batch, "n")), column(batch, "shingles")
+            done, most = 0, 1 << 18
+            while done < len(n):  # a long set comes alone
+                end = max(done + 1, int(np.searchsorted(np.cumsum(n[done:]), most, "right")) + done)
+                flat = np.frombuffer(b"".join(v.as_py() for v in values[done:end]), np.uint64).view(np.int64)
+                many = n[done:end]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(column(batch, c))[done:end], many)) for c in ("x", "n", "component")] + [pa.array(flat)], ["x", "n", "component", "v"])
+                done = end
+
+    each = scratch.keep(sets.select("x", "shingles").join(apart, "x").mapInArrow(run, "x long, n long, component long, v long"), "values")
+    several = each.groupBy("v").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("v", "m")
+    held = each.join(several, "v").groupBy("x", "n", "component").agg(F.sort_array(F.collect_list(F.struct("m", "v"))).alias("held"))
+    need = F.ceil(F.col("n") * percent / 100)
+    first = held.where(F.size("held") >= need).select("x", "n", "component", F.explode(F.slice("held", F.lit(1), F.size("held") - need.cast("int") + 1)).alias("h"))
+    first = scratch.keep(first.select("x", "n", "component", F.col("h.v").alias("v")), "prefixes")
+    lists = first.groupBy("v").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("v", "m")
+    return scratch.keep(first.join(lists, "v"), "lists_apart")
+
+
 def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs between components in long lists. Every list is dealt into blocks of about BLOCK rows and every pair of blocks
-    is a group of its own. rows: v, x, n, component, low (the WIDE least values of x)."""
-    sizes = rows.groupBy("v").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-    dealt = rows.join(sizes.select("v", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), "v").withColumn("p", F.pmod(F.xxhash64("x"), F.col("nb")).cast("int"))
+    is a group of its own. rows: v, m (rows of the list), x, n, component, low (the WIDE least values of x)."""
+    dealt = rows.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("p", F.pmod(F.xxhash64("x"), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("v", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "x", "n", "component", "low")
 
     def run(_: tuple, t: pa.Table) -> pa.Table:
@@ -227,17 +263,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) ->
             .groupBy("a", "b", "na", "nb", "oa", "ob").agg(F.count("*").alias("shared"))
             .where(F.col("shared") >= F.greatest(F.lit(1), F.least("oa", "ob") - slack))
         )
-        dense = found.where(F.size("hot") > 0).where(F.col("others") <= SLACK).select("x", "n", "fame", F.explode("hot").alias("v"))
+        dense = found.where(F.size("hot") > 0).where(F.col("others") <= SLACK).select("x", "n", "fame", "hot")
+        hot = dense.select("x", "fame", F.explode("hot").alias("v"))
         # what copies were made from holds the group's frequent values and none of its edits
-        leaders = dense.groupBy("v").agg(F.max_by("x", F.struct("fame", "x")).alias("l1"), F.min("x").alias("l2"))
-        stars = dense.join(leaders, "v").select("x", F.explode(F.array("l1", "l2")).alias("l")).where("x <> l").select(F.least("x", "l").alias("a"), F.greatest("x", "l").alias("b"))
+        leaders = hot.groupBy("v").agg(F.max_by("x", F.struct("fame", "x")).alias("l1"), F.min("x").alias("l2"))
+        stars = hot.join(leaders, "v").select("x", F.explode(F.array("l1", "l2")).alias("l")).where("x <> l").select(F.least("x", "l").alias("a"), F.greatest("x", "l").alias("b")).distinct()
 
         likely = scratch.keep(_estimated(pairs.select("a", "b").unionByName(stars), classes, percent), "likely")
         ends = likely.select(F.col("a").alias("x")).unionByName(likely.select(F.col("b").alias("x"))).distinct()
         edges = []
         if not (likely.isEmpty() and dense.isEmpty()):
-            rows = scratch.keep(dense.select("x", "n", "v"), "dense")
-            ends = ends.unionByName(rows.select("x")).distinct().join(classes.select("x", "rep"), "x")
+            ends = ends.unionByName(dense.select("x")).distinct().join(classes.select("x", "rep"), "x")
             ends = scratch.keep(ends.select("x", "rep"), "ends")
             wanted = ends.select(F.col("rep").alias("doc_id")).distinct()
             if ends.count() <= BROADCAST_IDS:
@@ -247,7 +283,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) ->
             best = likely.select(F.col("a").alias("x"), "a", "b", "est").unionByName(likely.select(F.col("b").alias("x"), "a", "b", "est"))
             first = best.groupBy("x").agg(F.max(F.struct("est", F.col("a"), F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
             edges.append(cut(_exact(first, sets, percent)))
-            known = cut(components(edges[0]))
+            known = components(edges[0])
 
             def apart(p: DataFrame) -> DataFrame:
                 """Pairs that known components do not hold yet."""
@@ -255,12 +291,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) ->
                 return p.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
             edges.append(cut(_exact(apart(likely.join(first, ["a", "b"], "left_anti")), sets, percent)))
-            known = cut(components(reduce(DataFrame.unionByName, edges)))
-            rows = rows.join(known.withColumnRenamed("id", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
-            rows = rows.join(sets.select("x", F.substring("shingles", 1, 8 * WIDE).alias("low")), "x")
-            edges.append(cut(_exact(_block_pairs(rows, percent).distinct(), sets, percent)))
+            known = components(reduce(DataFrame.unionByName, edges))
+            rows = _prefixes(_apart(dense, known), sets, scratch, percent)
+            few = rows.where(F.col("m") <= LIST).select("v", "x", "n", "component")
+            met = few.toDF("v", "a", "na", "ca").join(few.toDF("v", "b", "nb", "cb"), "v").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _similar_sizes(percent))
+            long = rows.where(F.col("m") > LIST).join(sets.select("x", F.substring("shingles", 1, 8 * WIDE).alias("low")), "x")
+            edges.append(cut(_exact(_estimated(met, classes, percent).select("a", "b").unionByName(_block_pairs(long, percent)).distinct(), sets, percent)))
             if not edges[-1].isEmpty():
-                known = cut(components(reduce(DataFrame.unionByName, edges)))
+                known = components(reduce(DataFrame.unionByName, edges))
             of = classes.join(known.withColumnRenamed("id", "x"), "x", "left").select("x", "d2", "n", "rep", F.coalesce("component", "x").alias("component"))
             of = of.join(of.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("x", "d2", "n", "component_id")
         else:
