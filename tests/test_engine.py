@@ -68,15 +68,13 @@ def test_tombstones_over_deeper_files(spark):
     assert retention.compact(log, 100).count() == 0
 
 
-def test_keys_in_many_ranges(spark, monkeypatch):
+def test_keys_in_many_ranges(spark):
     rng = random.Random(8)
     bounds = [tuple(sorted((f"k{rng.randrange(9999):04d}", f"k{rng.randrange(9999):04d}"[:rng.randrange(3, 6)]))) for _ in range(60)]
     files = spark.createDataFrame([(a, min(b, a + "5")) for a, b in bounds if a <= min(b, a + "5")], "min_key string, max_key string")
     keys = [(f"k{i:04d}",) for i in range(0, 9999, 7)] + [("",), ("z",)]
     want = sorted(k for k in keys if any(r["min_key"] <= k[0] <= r["max_key"] for r in files.collect()))
-    for few in (64, 0):
-        monkeypatch.setattr(retention, "FEW_RANGES", few)
-        assert rows_of(retention.covered(spark.createDataFrame(keys, "key string"), files), "key") == want
+    assert rows_of(retention.covered(spark.createDataFrame(keys, "key string"), files), "key") == want
 
 
 def test_tiered_compaction(spark):
@@ -100,7 +98,7 @@ def test_picker(spark):
 
 def test_rolling_gives_disjoint_files(spark):
     rows = [(f"key{k:03d}", f * 40 + k + 1, PUT, "v" * 30) for f in range(4) for k in range(40)]
-    out = layout.roll(log_of(spark, rows).withColumn("shard", F.lit(0).cast("long")), 2000).orderBy("min_key").collect()
+    out = layout.roll(log_of(spark, rows), 2000).orderBy("min_key").collect()
     assert len(out) > 3 and all(a["max_key"] < b["min_key"] for a, b in zip(out, out[1:], strict=False))
     assert sum(r["bytes"] for r in out) == sum(17 + len(k) + len(v) for k, _, _, v in rows)
 
@@ -124,7 +122,7 @@ def test_leveled_compaction(spark):
 
 def test_sparse_index(spark):
     ix = spark.createDataFrame([(1, "b"), (1, "d"), (1, "f"), (1, "h")], "file_no long, key string")
-    ask = spark.createDataFrame([("a",), ("c",), ("g",), ("z",), ("b",)], "key string")
+    ask = spark.createDataFrame([(1, "a"), (1, "c"), (1, "g"), (1, "z"), (1, "b")], "file_no long, key string")
     assert rows_of(index.lookup(ask, ix), "probe", "block_key") == [("a", "b"), ("b", "b"), ("c", "b"), ("g", "f"), ("z", "h")]
     entries = log_of(spark, [("k", s, PUT, "") for s in range(1, 101)] + [("z", 200, PUT, "")]).withColumn("file_no", F.lit(1).cast("long"))
     assert rows_of(index.build(entries), "key", "offset") == [("k", 0), ("z", 1800)]
@@ -133,7 +131,7 @@ def test_sparse_index(spark):
 def test_bloom(spark):
     keys = [f"key-{i}" for i in range(1000)]
     entries = log_of(spark, [(k, i + 1, PUT, "") for i, k in enumerate(keys)]).withColumn("file_no", F.lit(1).cast("long"))
-    ask = spark.createDataFrame([(k,) for k in keys + [f"absent-key-{i}" for i in range(1000)]], "key string")
+    ask = spark.createDataFrame([(1, k) for k in keys + [f"absent-key-{i}" for i in range(1000)]], "file_no long, key string")
     got = {r["probe"]: r["may_contain"] for r in bloom.probe(ask, bloom.build(entries)).collect()}
     assert all(got[k] for k in keys) and sum(got[k] for k in got if k.startswith("absent")) < 50
 
@@ -279,13 +277,14 @@ def test_engine_on_disk(spark, tmp_path):
     e.append(log_of(spark, [("a", 3, PUT, "3"), ("b", 9, DELETE, "")]))
     old = e.manifest().version
     assert {r["key"]: r["value"] for r in e.as_of().collect()} == {"a": "3"}
-    e.compact(vacuum=False)
+    e.compact()
     assert {r["key"]: r["value"] for r in e.as_of(pinned).collect()} == {"a": "1", "b": "2"}
     assert {r["key"]: r["value"] for r in e.as_of(version=old).collect()} == {"a": "3"}
     assert sorted(r["status"] for r in e.orphans().collect()) == ["LIVE", "ORPHAN", "ORPHAN"]
     e.release(pinned)
     e.append(log_of(spark, [("a", 10, DELETE, "")]))
     e.compact()
+    assert e.vacuum() == 4 and [r["status"] for r in e.orphans().collect()] == []
     assert e.manifest().high_water == 10 and e.as_of().count() == 0 and e.log().count() == 0
     with pytest.raises(LogError):
         e.as_of(2)

@@ -7,7 +7,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The filter's parameters, the FNV-1a basis and prime, two seeds, and the finaliser's shifts and factors.
 PROBES = 7
@@ -37,39 +36,49 @@ def hash64(keys: list[bytes], seed: int) -> np.ndarray:
     return h
 
 
-def positions(keys: list[bytes], bits: np.ndarray) -> np.ndarray:
-    """(keys, PROBES) bit numbers by double hashing."""
+def positions(keys: list[bytes], bits: np.ndarray, probes: int = PROBES) -> np.ndarray:
+    """(keys, probes) bit numbers by double hashing."""
     one, two = hash64(keys, SEEDS[0]), hash64(keys, SEEDS[1]) | np.uint64(1)
-    steps = np.arange(PROBES, dtype=np.uint64)
+    steps = np.arange(probes, dtype=np.uint64)
     return ((one[:, None] + steps * two[:, None]) % bits[:, None].astype(np.uint64)).astype(np.int64)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def bloom_bits(key: pd.Series, bits: pd.Series) -> pd.Series:
-    """Bit numbers of a key in a filter of so many bits."""
-    raw = [k.encode() if isinstance(k, str) else bytes(k) for k in key]
-    return pd.Series(list(positions(raw, bits.to_numpy())))
-
-
 def bit_count(entries: Column) -> Column:
     return F.greatest(F.lit(LEAST_BITS), F.least(F.greatest(entries, F.lit(1)), F.lit(MOST_BITS // BITS_PER_KEY)) * BITS_PER_KEY).cast("long")
 
 
+def _raw(keys) -> list[bytes]:
+    return [k.encode() if isinstance(k, str) else bytes(k) for k in keys]
+
+
 def build(entries: DataFrame) -> DataFrame:
-    """file_no, bits, bit: the set bits of each file's filter, a row a bit, so a filter of any size stays distributed.
-    The size counts entries (versions), not distinct keys."""
+    """file_no, bits, field: each file's filter as one binary of its bits, the least first. The size counts entries
+    (versions), not distinct keys. A file is bounded by its target size, and its distinct keys make one group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = int(pdf["bits"].iloc[0])
+        field = np.zeros(-(-bits // 8) * 8, np.uint8)
+        field[positions(_raw(pdf["key"]), np.full(len(pdf), bits)).ravel()] = 1
+        return pd.DataFrame({"file_no": [pdf["file_no"].iloc[0]], "bits": [bits], "field": [np.packbits(field, bitorder="little").tobytes()]})
+
     sizes = entries.groupBy("file_no").agg(bit_count(F.count("*")).alias("bits"))
     keys = entries.select("file_no", "key").distinct().join(sizes, "file_no")
-    return keys.select("file_no", "bits", F.explode(bloom_bits("key", "bits")).alias("bit")).distinct()
+    return keys.groupBy("file_no").applyInPandas(run, "file_no long, bits long, field binary")
+
+
+def probe(asked: DataFrame, filters: DataFrame) -> DataFrame:
+    """file_no, probe, may_contain of the asked (file_no, key) pairs, such as the files whose range holds a key. Keys meet
+    the filter of their file in one group, so a filter moves once."""
 
+    def run(_: tuple, keys: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if held.empty or keys.empty:
+            return pd.DataFrame({"file_no": keys["file_no"], "probe": keys["key"], "may_contain": False})
+        set_bits = np.unpackbits(np.frombuffer(held["field"].iloc[0], np.uint8), bitorder="little")
+        at = positions(_raw(keys["key"]), np.full(len(keys), int(held["bits"].iloc[0])))
+        return pd.DataFrame({"file_no": keys["file_no"], "probe": keys["key"], "may_contain": set_bits[at].all(1)})
 
-def probe(keys: DataFrame, filters: DataFrame) -> DataFrame:
-    """file_no, probe, may_contain of every key at every file. A probe's bits meet the set bits in an equi-join."""
-    sizes = filters.groupBy("file_no").agg(F.first("bits").alias("bits"))
-    asked = keys.select(F.col("key").alias("probe")).distinct().crossJoin(sizes)
-    each = asked.select("file_no", "probe", F.explode(bloom_bits("probe", "bits")).alias("bit"), F.lit(1).alias("asked")).distinct()
-    hits = each.join(filters.select("file_no", "bit", F.lit(1).alias("set")), ["file_no", "bit"], "left")
-    return hits.groupBy("file_no", "probe").agg((F.count("set") == F.count("*")).alias("may_contain"))
+    pairs = asked.select("file_no", "key").distinct()
+    return pairs.groupBy("file_no").cogroup(filters.groupBy("file_no")).applyInPandas(run, "file_no long, probe string, may_contain boolean")
 
 
 def serialized_size(bits: Column) -> Column:

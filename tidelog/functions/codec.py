@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,15 +28,15 @@ def decode_command(raw: bytes) -> dict:
     """type, key, value, request_id and error (null if the buffer is a command)."""
     out = {"type": None, "key": None, "value": None, "request_id": None, "error": None}
     if len(raw) < COMMAND_HEADER.size:
-        return out | {"error": "truncated header"}
+        return out | {"error": "shorter than a header"}
     version, kind, k, v, r = COMMAND_HEADER.unpack_from(raw)
     if version != COMMAND_VERSION:
-        return out | {"error": f"unsupported command format version {version}"}
+        return out | {"error": f"format {version} is not known"}
     if kind not in (PUT, DELETE, NOOP):
-        return out | {"error": f"unknown command type {kind}"}
+        return out | {"error": f"type {kind} is not known"}
     at = COMMAND_HEADER.size
     if at + k + v + r != len(raw):
-        return out | {"error": "length fields do not match the buffer size"}
+        return out | {"error": "lengths do not add up"}
     return out | {"type": kind, "key": raw[at : at + k], "value": raw[at + k : at + k + v], "request_id": raw[at + k + v :]}
 
 
@@ -62,9 +63,12 @@ def split_composite(raw: bytes) -> tuple[bytes, int]:
     return body[:-2].replace(b"\0\xff", b"\0"), ~int.from_bytes(tail, "big") & (1 << 64) - 1
 
 
-@F.pandas_udf(T.BinaryType())
-def version_key(key: pd.Series, seq: pd.Series) -> pd.Series:
-    return pd.Series([composite_key(bytes(k), int(s)) for k, s in zip(key, seq, strict=True)])
+def version_key(key: Column | str, seq: Column | str) -> Column:
+    """composite_key() of columns, in hexadecimal digits all the way: every zero byte of the key gets an FF behind it."""
+    key = F.col(key) if isinstance(key, str) else key
+    seq = F.col(seq) if isinstance(seq, str) else seq
+    digits = F.regexp_replace(F.hex(key.cast("binary")), r"\G((?:(?!00)[0-9A-F]{2})*+)00", "$100FF")
+    return F.unhex(F.concat(digits, F.lit("0000"), F.lpad(F.hex(F.bitwise_not(seq)), 16, "0")))
 
 
 @F.pandas_udf(_struct(key=T.BinaryType(), seq=T.LongType()))
@@ -72,17 +76,22 @@ def version_key_decode(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([split_composite(bytes(r)) for r in raw], columns=["key", "seq"])
 
 
-def _fixed(code: str):
-    @F.pandas_udf(T.BinaryType())
-    def encode(x: pd.Series) -> pd.Series:
-        return pd.Series([struct.pack(code, int(v)) for v in x])
+def _swapped(digits: Column, width: int) -> Column:
+    return F.concat(*[F.substring(digits, 2 * (width - i) - 1, 2) for i in range(width)])
+
+
+def fixed32_encode(x: Column) -> Column:
+    return F.unhex(_swapped(F.lpad(F.hex(x), 8, "0"), 4))
+
+
+def fixed64_encode(x: Column) -> Column:
+    return F.unhex(_swapped(F.lpad(F.hex(x), 16, "0"), 8))
 
-    @F.pandas_udf(T.LongType())
-    def decode(x: pd.Series) -> pd.Series:
-        return pd.Series([struct.unpack(code, bytes(v))[0] for v in x])
 
-    return encode, decode
+def fixed32_decode(b: Column) -> Column:
+    return F.conv(_swapped(F.hex(b), 4), 16, 10).cast("long")
 
 
-fixed32_encode, fixed32_decode = _fixed("<I")
-fixed64_encode, fixed64_decode = _fixed("<Q")
+def fixed64_decode(b: Column) -> Column:
+    """Numbers under 2 ** 63, which all sequences are."""
+    return F.conv(_swapped(F.hex(b), 8), 16, 10).cast("long")

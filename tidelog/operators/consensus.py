@@ -122,3 +122,11 @@ def peer_states(pings: DataFrame, fails: int = 2) -> DataFrame:
 def leader_endpoint(nodes: DataFrame, endpoints: DataFrame) -> DataFrame:
     """node, leader_id and the leader's address (null: unknown)."""
     return nodes.join(endpoints.select(F.col("node_id").alias("leader_id"), "address"), "leader_id", "left").select("node", "leader_id", "address")
+
+
+def vote_eligibility(logs: DataFrame) -> DataFrame:
+    """candidate, voter, eligible: is the candidate's last entry at least as new as the voter's?"""
+    last = logs.groupBy("node").agg(F.max(F.struct("idx", "term")).alias("l"))
+    a, b = last.select(F.col("node").alias("candidate"), F.col("l.term").alias("t"), F.col("l.idx").alias("i")), last.select(F.col("node").alias("voter"), F.col("l.term").alias("own_t"), F.col("l.idx").alias("own_i"))
+    # a row a node
+    return a.join(b, F.col("candidate") != F.col("voter")).select("candidate", "voter", up_to_date(F.col("t"), F.col("i"), F.col("own_t"), F.col("own_i")).alias("eligible"))

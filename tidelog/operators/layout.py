@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import LEVELS
 from .mvcc import byte_size
+from .running import chained, predecessors, prefix_sums, running
 
 # Defaults of the compaction options.
 L0_TRIGGER = 4
@@ -66,11 +64,25 @@ def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, (F.col("a1") >= F.col("b0")) & (F.col("a0") <= F.col("b1"))).select("file_a", "file_b")
 
 
-def candidates(keys: DataFrame, files: DataFrame) -> DataFrame:
-    """(key, file_no) of the files whose range may hold a key; unknown bounds may hold any."""
-    low = F.coalesce(F.col("min_key") <= F.col("key"), F.lit(True))
-    high = F.coalesce(F.col("max_key") >= F.col("key"), F.lit(True))
-    return keys.join(files.select("file_no", "min_key", "max_key"), low & high).select("key", "file_no")
+def candidates(keys: DataFrame, files: DataFrame, disjoint: bool = False) -> DataFrame:
+    """(key, file_no) of the files whose range may hold a key; unknown bounds may hold any. On a level of disjoint files a
+    key meets the one file that begins last before it; files that overlap are compared with every key."""
+    known = files.where("min_key is not null and max_key is not null")
+    if disjoint:
+        found = predecessors(keys.select("key"), known.withColumnRenamed("min_key", "key"), "key", ["file_no", "max_key"]).where("_mark.max_key >= key").select("key", F.col("_mark.file_no").alias("file_no"))
+    else:
+        found = keys.join(known.select("file_no", "min_key", "max_key"), F.col("key").between(F.col("min_key"), F.col("max_key"))).select("key", "file_no")
+    low, high = F.coalesce(F.col("min_key") <= F.col("key"), F.lit(True)), F.coalesce(F.col("max_key") >= F.col("key"), F.lit(True))
+    unknown = files.where("min_key is null or max_key is null").select("file_no", "min_key", "max_key")
+    return found.unionByName(keys.join(unknown, low & high).select("key", "file_no"))
+
+
+def probed(keys: DataFrame, files: DataFrame) -> DataFrame:
+    """(key, file_no) over all levels: level 0 overlaps, deeper ones are disjoint level by level. files: with level."""
+    out = candidates(keys, files.where("level = 0"))
+    for level in range(1, LEVELS):
+        out = out.unionByName(candidates(keys, files.where(F.col("level") == level), disjoint=True))
+    return out
 
 
 def disjoint_violations(files: DataFrame) -> DataFrame:
@@ -100,60 +112,22 @@ def record_layout(entries: DataFrame) -> DataFrame:
     return entries.select("file_no", "key", "seq", F.coalesce(F.sum(size).over(before), F.lit(0)).alias("offset"), size.alias("size"))
 
 
-def _stream(df: DataFrame, shard: str, order: list[str], run, schema: str) -> DataFrame:
-    """One ordered pass over each shard with constant memory; a boundary depends on all before it in its shard."""
-    return df.repartition(shard).sortWithinPartitions(shard, *order).mapInPandas(run, schema)
-
-
-def rotate(log: DataFrame, limit: int, shard: str = "shard") -> DataFrame:
-    """Memtables: shard, batch_id, entries, bytes, last_seq. A write first closes the active table if that is not empty
-    and has reached the limit. Stores (shards) rotate apart from each other."""
-    sized = log.select(shard, "seq", (byte_size("key", "value") + 9).alias("b"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, batch, n, held, last = None, 0, 0, 0, 0
-        out: list[tuple] = []
-        for f in frames:
-            for s, seq, b in zip(f[shard].tolist(), f["seq"].tolist(), f["b"].tolist(), strict=True):
-                if s != now or held >= limit and n:
-                    if n:
-                        out.append((now, batch, n, held, last))
-                    batch = 1 if s != now else batch + 1
-                    now, n, held = s, 0, 0
-                n, held, last = n + 1, held + b, seq
-            if len(out) >= 10_000:
-                yield pd.DataFrame(out, columns=cols)
-                out = []
-        if n:
-            out.append((now, batch, n, held, last))
-        yield pd.DataFrame(out, columns=cols)
-
-    cols = [shard, "batch_id", "entries", "bytes", "last_seq"]
-    return _stream(sized, shard, ["seq"], run, f"{shard} long, batch_id long, entries long, bytes long, last_seq long")
-
-
-def roll(entries: DataFrame, target: int = TARGET_BYTES, shard: str = "shard") -> DataFrame:
-    """Output files: shard, file_no, min_key, max_key, bytes. A file closes at the first new key after it has reached the
-    target; a key's versions never part. Keys are summed first, so the ordered pass sees one row a key."""
-    keys = entries.groupBy(shard, "key").agg(F.sum(record_size()).alias("b"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, number, held, low, high = None, 0, 0, None, None
-        out: list[tuple] = []
-        for f in frames:
-            for s, key, b in zip(f[shard].tolist(), f["key"].tolist(), f["b"].tolist(), strict=True):
-                if s != now or held >= target:
-                    if held:
-                        out.append((now, number, low, high, held))
-                    number = 1 if s != now else number + 1
-                    now, held, low = s, 0, key
-                held, high = held + b, key
-            if len(out) >= 10_000:
-                yield pd.DataFrame(out, columns=cols)
-                out = []
-        if held:
-            out.append((now, number, low, high, held))
-        yield pd.DataFrame(out, columns=cols)
-
-    cols = [shard, "file_no", "min_key", "max_key", "bytes"]
-    return _stream(keys, shard, ["key"], run, f"{shard} long, file_no long, min_key string, max_key string, bytes long")
+def rotate(log: DataFrame, limit: int) -> DataFrame:
+    """Memtables of one store: batch_id, entries, bytes, last_seq. A write first closes the active table if that is not empty
+    and has reached the limit."""
+    sized = log.select("seq", (byte_size("key", "value") + 9).alias("b"))
+    placed = running(sized, "seq", inclusive=False, _before=("sum", F.col("b")))
+    return chained(placed, "_before", limit).groupBy(F.col("_no").alias("batch_id")).agg(F.count("*").alias("entries"), F.sum("b").alias("bytes"), F.max("seq").alias("last_seq"))
+
+
+def roll(entries: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
+    """Output files of one merge: file_no, min_key, max_key, bytes. A file closes at the first new key after it has reached
+    the target; a key's versions never part."""
+    keys = entries.groupBy("key").agg(F.sum(record_size()).alias("b"))
+    placed = prefix_sums(keys, "key", "b", "_before")
+    return chained(placed, "_before", target).groupBy(F.col("_no").alias("file_no")).agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.sum("b").alias("bytes"))
+
+
+def gauges(files: DataFrame, size: str = "data_bytes") -> DataFrame:
+    """One row: tables and bytes over all levels."""
+    return files.agg(F.count("*").alias("tables"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))

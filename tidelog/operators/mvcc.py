@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..schema import DELETE, PUT
 from .running import numbered
 
+#: Arrivals of a block.
+ARRIVALS = 1 << 16
+
 
 def resolve(log: DataFrame, at: int | Column | None = None) -> DataFrame:
     """The newest version with seq <= at of each key, tombstones included: key, seq, type, value."""
@@ -90,7 +93,7 @@ def diff(log: DataFrame, old: int, new: int) -> DataFrame:
     return rows.where(~F.col("old_value").eqNullSafe(F.col("new_value"))).select("key", change.alias("change"), "old_value", "new_value")
 
 
-def assign_sequences(rows: DataFrame, day: str, order: list[str], start: int = 0, name: str = "seq") -> DataFrame:
+def assign_sequences(rows: DataFrame, day: str, order: list, start: int = 0, name: str = "seq") -> DataFrame:
     """Consecutive sequences from start + 1 in arrival order; `day` is a coarse prefix of that order."""
     return numbered(rows, [day], order, "_no").withColumn(name, F.col("_no") + start).drop("_no")
 
@@ -100,6 +103,22 @@ def duplicate_versions(log: DataFrame) -> DataFrame:
     return log.groupBy("key", "seq").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def falling(log: DataFrame, arrival: str) -> DataFrame:
+    """(key, seq, arrival) of versions that do not rise over all that came before them for their key: a memtable refuses
+    them. Blocks of the arrival order are folded first, so a key with any number of versions is not swept in one task."""
+    dealt = log.select("key", "seq", F.col(arrival).alias("arrival"), F.floor(F.col(arrival) / ARRIVALS).alias("_block"))
+    tops = dealt.groupBy("key", "_block").agg(F.max("seq").alias("_t"))
+    before = tops.select("key", "_block", F.max("_t").over(Window.partitionBy("key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    inner = Window.partitionBy("key", "_block").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    top = F.greatest(F.max("seq").over(inner), F.col("_before"))
+    return dealt.join(before, ["key", "_block"]).withColumn("_top", top).where("seq <= _top").select("key", "seq", "arrival")
+
+
+def canonical_places(log: DataFrame) -> DataFrame:
+    """key, seq, place (from 1) in canonical order."""
+    return numbered(log.select("key", "seq", F.substring("key", 1, 7).alias("_head")), ["_head"], ["key", F.desc("seq")], "place").select("key", "seq", "place")
+
+
 def replayed(log: DataFrame, arrival: str) -> DataFrame:
     """Versions at caller-given sequences: the last arrival of a (key, seq) stays."""
     last = log.groupBy("key", "seq").agg(F.max(F.struct(arrival, "type", "value")).alias("v"))

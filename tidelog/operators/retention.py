@@ -3,63 +3,40 @@ deeper may hold the key."""
 
 from __future__ import annotations
 
-import bisect
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..schema import DELETE
-from .mvcc import byte_size
-
-#: Merged key ranges that are compared one by one, and that may be sent to the tasks (two keys each).
-FEW_RANGES = 64
-RANGES_ON_DRIVER = 1_000_000
-
-
-def marked(log: DataFrame, floor: int | Column, deeper: DataFrame | None = None) -> DataFrame:
-    """log, one row a (key, seq), with keep: will the version survive? deeper: (min_key, max_key) of files below the
-    output; None: nothing is below, so floor tombstones go."""
-    rows = log.dropDuplicates(["key", "seq"]).withColumn("_old", F.col("seq") <= floor)
-    rank = F.row_number().over(Window.partitionBy("key", "_old").orderBy(F.desc("seq")))
-    rows = rows.withColumn("_rank", F.when(F.col("_old"), rank))
-    grave = F.col("_old") & (F.col("type") == DELETE) & (F.col("_rank") == 1)
-    if deeper is not None:
-        held = covered(rows.where(grave).select("key").distinct(), deeper).withColumn("_held", F.lit(True))
-        rows = rows.join(held, "key", "left")
-        grave = grave & F.col("_held").isNull()
-    return rows.withColumn("keep", ~F.col("_old") | ((F.col("_rank") == 1) & ~grave)).drop("_old", "_rank", "_held")
+from .mvcc import byte_size, resolve
+from .running import predecessors
 
 
 def covered(keys: DataFrame, files: DataFrame) -> DataFrame:
-    """Distinct keys (strings) inside at least one file's range. Overlapping ranges are merged first. A few ranges are
-    compared one by one; up to RANGES_ON_DRIVER sorted bounds travel to the tasks, which search them by halves."""
+    """Distinct keys (strings) inside at least one file's range. Overlapping ranges are merged first; a key then needs the
+    last range that begins at or before it."""
     order = Window.orderBy("min_key", "max_key").rowsBetween(Window.unboundedPreceding, -1)
     # file metadata: a row a file
     islands = files.select("min_key", "max_key").withColumn("_top", F.max("max_key").over(order)).withColumn("_new", (F.col("_top").isNull() | (F.col("min_key") > F.col("_top"))).cast("int"))
-    islands = islands.withColumn("_no", F.sum("_new").over(Window.orderBy("min_key", "max_key"))).groupBy("_no").agg(F.min("min_key").alias("min_key"), F.max("max_key").alias("max_key"))
-    bounds = sorted((r["min_key"].encode(), r["max_key"].encode()) for r in islands.limit(RANGES_ON_DRIVER + 1).select("min_key", "max_key").collect())
-    if not FEW_RANGES < len(bounds) <= RANGES_ON_DRIVER:
-        return keys.join(islands, F.col("key").between(F.col("min_key"), F.col("max_key")), "left_semi")
-    shared = keys.sparkSession.sparkContext.broadcast(bounds)
-
-    @F.pandas_udf(T.BooleanType())
-    def inside(key: pd.Series) -> pd.Series:
-        starts = [a for a, _ in shared.value]
-        at = [bisect.bisect_right(starts, k.encode()) - 1 for k in key]
-        return pd.Series([i >= 0 and k.encode() <= shared.value[i][1] for i, k in zip(at, key, strict=True)], dtype=bool)
-
-    return keys.where(inside("key"))
+    islands = islands.withColumn("_no", F.sum("_new").over(Window.orderBy("min_key", "max_key"))).groupBy("_no").agg(F.min("min_key").alias("key"), F.max("max_key").alias("max_key"))
+    return predecessors(keys, islands, "key", ["max_key"]).where("_mark.max_key >= key").drop("_mark")
 
 
 def compact(log: DataFrame, floor: int | Column, deeper: DataFrame | None = None) -> DataFrame:
-    return marked(log, floor, deeper).where("keep").drop("keep")
+    """What is kept of log, one row a (key, seq). Versions above the floor pass as they are; of those at or under it only
+    the newest of each key is aggregated, with partial maxima, so no key's versions meet in one task. deeper: (min_key,
+    max_key) of files below the output; None: nothing is below, so floor tombstones go."""
+    above = log.where(F.col("seq") > floor).dropDuplicates(["key", "seq"]).select("key", "seq", "type", "value")
+    newest = resolve(log, floor)
+    out = above.unionByName(newest.where(F.col("type") != DELETE))
+    if deeper is None:
+        return out
+    graves = newest.where(F.col("type") == DELETE)
+    return out.unionByName(graves.join(covered(graves.select("key"), deeper), "key", "left_semi").select(out.columns))
 
 
 def stats(log: DataFrame, floor: int | Column, deeper: DataFrame | None = None) -> DataFrame:
     """entries_in, entries_out, entries_dropped, bytes_in, bytes_out; repeated versions count as dropped."""
     size = byte_size("key", "value") + 17
     took = log.agg(F.count("*").alias("entries_in"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes_in"))
-    left = marked(log, floor, deeper).agg(F.count_if("keep").alias("entries_out"), F.coalesce(F.sum(F.when(F.col("keep"), size)), F.lit(0)).alias("bytes_out"))
+    left = compact(log, floor, deeper).agg(F.count("*").alias("entries_out"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes_out"))
     return took.crossJoin(left).select("entries_in", "entries_out", (F.col("entries_in") - F.col("entries_out")).alias("entries_dropped"), "bytes_in", "bytes_out")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import layout, retention
+from ..operators.running import predecessors
+from ..sources.files import shared_dir
 
 
 @dataclass
@@ -44,15 +46,14 @@ class Leveled:
 
     def _rolled(self, kept: DataFrame, level: int, top: DataFrame) -> DataFrame:
         """kept as files of the level; a key's file is the last boundary at or under it, so no key is cut."""
-        bounds = layout.roll(kept.withColumn("shard", F.lit(0).cast("long")), self.target).select("file_no", "min_key", "max_key")
-        hit = kept.join(bounds, F.col("key").between(F.col("min_key"), F.col("max_key")))
-        return hit.crossJoin(F.broadcast(top)).select(F.lit(level).alias("level"), (F.col("file_no") + F.coalesce("top", F.lit(0))).alias("file_no"), "key", "seq", "type", "value")
-
-    def settle(self, entries: DataFrame, floor: int, most: int = 32) -> DataFrame:
-        """Steps until no level is over its budget, each cut by a reliable checkpoint."""
-        for _ in range(most):
-            after = self.step(entries, floor)
-            if after is None:
-                break
-            entries = after.checkpoint() if entries.sparkSession.sparkContext.getCheckpointDir() else after.persist()
+        bounds = layout.roll(kept, self.target).select(F.col("min_key").alias("key"), "file_no")
+        hit = predecessors(kept, bounds, "key", ["file_no"])
+        return hit.crossJoin(F.broadcast(top)).select(F.lit(level).alias("level"), (F.col("_mark.file_no") + F.coalesce("top", F.lit(0))).alias("file_no"), "key", "seq", "type", "value")
+
+    def settle(self, entries: DataFrame, floor: int) -> DataFrame:
+        """Steps until no level is over its budget, each cut by a reliable checkpoint. Every step moves a file of one level
+        into the next, and nothing moves up, so they come to an end."""
+        shared_dir(entries.sparkSession)
+        while (after := self.step(entries, floor)) is not None:
+            entries = after.checkpoint()
         return entries

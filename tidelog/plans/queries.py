@@ -39,7 +39,7 @@ def _probe_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _probe_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("cust:"), F.col("c_custkey")).alias("key"))
+    return fx.table(spark, sf_dir, "customer").select(F.concat(F.lit("cust:"), F.col("c_custkey")).alias("key"))
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,17 +223,17 @@ def version_edit(spark, sf_dir):
 
 @query
 def key_prune_candidates(spark, sf_dir):
-    return layout.candidates(_probe_users(spark, sf_dir), _files(spark, sf_dir).where("level = 1"))
+    return layout.probed(_probe_users(spark, sf_dir), _files(spark, sf_dir))
 
 
 @query
 def memtable_rotation(spark, sf_dir):
-    return layout.rotate(fx.event_log(spark, sf_dir).withColumn("shard", F.lit(0).cast("long")), ROTATE_BYTES).drop("shard")
+    return layout.rotate(fx.event_log(spark, sf_dir), ROTATE_BYTES)
 
 
 @query
 def output_rolling(spark, sf_dir):
-    return layout.roll(fx.event_log(spark, sf_dir).withColumn("shard", F.lit(0).cast("long")), ROLL_BYTES).drop("shard")
+    return layout.roll(fx.event_log(spark, sf_dir), ROLL_BYTES)
 
 
 @query
@@ -243,23 +243,25 @@ def record_layout(spark, sf_dir):
 
 @query
 def sparse_index_build(spark, sf_dir):
-    return index.build(fx.event_files(spark, sf_dir).where("level = 1"))
+    return index.build(fx.event_files(spark, sf_dir))
 
 
 @query
 def sparse_index_lookup(spark, sf_dir):
-    return index.lookup(_probe_users(spark, sf_dir), index.build(fx.event_files(spark, sf_dir).where("level = 1")))
+    """Keys meet the blocks of the files whose range may hold them."""
+    return index.lookup(layout.probed(_probe_users(spark, sf_dir), _files(spark, sf_dir)), index.build(fx.event_files(spark, sf_dir)))
 
 
 @query
 def sparse_index_bytes(spark, sf_dir):
-    files = fx.event_files(spark, sf_dir).where("level = 1")
+    files = fx.event_files(spark, sf_dir)
     return sizes.sparse_index_size(index.build(files), layout.file_metadata(files))
 
 
 @query
 def bloom_probe(spark, sf_dir):
-    return bloom.probe(_probe_users(spark, sf_dir), bloom.build(fx.event_files(spark, sf_dir).where("level = 1")))
+    """Keys meet the filters of the files whose range may hold them."""
+    return bloom.probe(layout.probed(_probe_users(spark, sf_dir), _files(spark, sf_dir)), bloom.build(fx.event_files(spark, sf_dir)))
 
 
 @query

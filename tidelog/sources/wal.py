@@ -1,12 +1,14 @@
 """Write-ahead logs as binary files: frames of checksum, length and payload, one pass per file in bounded pieces.
 
 Two frame orders are read and written: "crc_first" (checksum, length; the payload carries a version) and "len_first"
-(length, checksum). A log is one file per writer; files are the unit of parallelism, as order within one is strict.
+(length, checksum). A log is a folder of files, each a range of sequences and named by its last; files are the unit of
+parallelism, as order within one is strict.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import DELETE, PUT, LogError
+from .files import Folder, task_stream
 
 # Layouts of the head and of the payload's numbers, and the longest payload.
 HEAD = struct.Struct("<II")
@@ -135,24 +138,72 @@ def records(spark: SparkSession, path: str, form: str = "crc_first", damaged_tai
     return rows.where(F.when(F.col("status") == CORRUPT, bad.isNotNull()).otherwise(F.col("status") == RECORD)).select("key", "seq", "type", "value")
 
 
-def write(log: DataFrame, path: str, form: str = "crc_first") -> None:
-    """A row a writer's file: frames in sequence order, written as one file for each range of sequences."""
-    import uuid
+def _name(last: int) -> str:
+    return f"{last:020d}.wal"
 
+
+def last_sequences(spark: SparkSession, path: str) -> list[int]:
+    """The last sequence of each file of a log, in order: that is what files are named by."""
+    return sorted(int(n[:-4]) for n in Folder(spark, path).sizes() if n.endswith(".wal"))
+
+
+def write(log: DataFrame, path: str, form: str = "crc_first", files: int | None = None) -> None:
+    """Append rows to a log: a file of frames for each range of sequences, written by its task and named by the driver once
+    all are there (`files` of them at most, or as many as adaptive execution finds worth a task). Sequences must rise,
+    over those in the log too. An empty frame writes nothing."""
     spark = log.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop(path))
-    out = fs.create(hadoop(f"{path}/.{uuid.uuid4().hex}"), False)
-    last = None
-    # a log has one writer; rows stream to it in order
-    for row in log.orderBy("seq").toLocalIterator(prefetchPartitions=True):
-        if last is not None and row["seq"] <= last:
+    folder = Folder(spark, path)
+    folder.make()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, name, first, last = None, f".{uuid.uuid4().hex}", None, None
+        for batch in batches:
+            for seq, kind, key, value in zip(*(batch[c].tolist() for c in ("seq", "type", "key", "value")), strict=True):
+                if last is not None and seq <= last:
+                    raise LogError("sequences must rise")
+                if out is None:
+                    out, first = task_stream(path, name), seq
+                last = seq
+                out.write(encode(Record(seq, kind, bytes(key), bytes(value)), form))
+        if out is not None:
             out.close()
-            raise LogError("sequences must rise")
-        last = row["seq"]
-        raw = [bytes(x.encode() if isinstance(x, str) else x) for x in (row["key"], row["value"])]
-        out.write(bytearray(encode(Record(last, row["type"], *raw), form)))
-    out.close()
-    aside = next(s.getPath() for s in fs.listStatus(hadoop(path)) if s.getPath().getName().startswith(".") and not s.getPath().getName().endswith(".crc"))
-    fs.rename(aside, hadoop(f"{path}/{(last or 0):020d}.wal"))
+            yield pd.DataFrame([(name, first, last)], columns=["name", "first", "last"])
+
+    rows = log.selectExpr("seq", "cast(type as int) as type", "cast(key as binary) as key", "cast(value as binary) as value")
+    done = sorted(rows.repartitionByRange(*([files] if files else []), "seq").sortWithinPartitions("seq").mapInPandas(run, "name string, first long, last long").collect(), key=lambda r: r["first"])
+    before = last_sequences(spark, path)
+    if before and done and done[0]["first"] <= before[-1]:
+        for r in done:
+            folder.delete(r["name"])
+        raise LogError("sequences must rise")
+    for r in done:
+        folder.rename(r["name"], _name(r["last"]))
+
+
+def truncate(spark: SparkSession, path: str, name: str, valid_bytes: int, last: int | None) -> None:
+    """Cut a file's torn tail: its valid prefix is written aside, renamed to its own last sequence, and the old file goes."""
+    folder = Folder(spark, path)
+    if last is not None:
+        folder.write(_name(last), folder.read(name)[:valid_bytes], replace=True)
+    if last is None or _name(last) != name:
+        folder.delete(name)
+
+
+def discard_through(spark: SparkSession, path: str, seq: int, form: str = "crc_first") -> int:
+    """Drop all records up to seq: whole files go, and the file that holds seq and more is replaced by one of the rest. The
+    number of files that went. A crash on the way leaves files that replay skips by their sequences."""
+    folder, gone = Folder(spark, path), 0
+    for last in last_sequences(spark, path):
+        if last <= seq:
+            folder.delete(_name(last))
+            gone += 1
+            continue
+        raw = folder.read(_name(last))
+        found = list(frames(raw, form))
+        if found[-1][0] == CORRUPT:
+            raise LogError(f"corrupt log {path}/{_name(last)}: {found[-1][4]}")
+        start = next((at for status, at, _, r, _ in found if status == RECORD and r.seq > seq), len(raw))
+        if start:
+            folder.write(_name(last), raw[start:], replace=True)
+        break
+    return gone
