@@ -22,23 +22,32 @@ def _without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Null and empty texts are judged by their (zero) statistics, equal texts
+    alike, rows with a null doc_id too; without any label of 1 nothing goes; other columns pass as they are, whatever
+    their names; an empty table stays empty."""
     return quality.filtered(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near-duplicates stays; a null doc_id stays; a doc_id goes with all its rows."""
+    """The smallest doc_id of each group of near-duplicates stays. Null, empty and wordless texts and rows with a null
+    doc_id are nobody's copies and stay; a doc_id that goes does with all its rows, and one that stays keeps all, repeats
+    too; other columns pass as they are; an empty table stays empty."""
     gone = near_dup.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
     return _without(docs, cut(gone), "doc_id").select(docs.columns)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the passages that documents of smaller ids hold; no row goes."""
+    """Texts lose the passages that documents of smaller ids hold; no row goes. Null texts stay null, texts under 50 bytes
+    and rows with a null doc_id stay whole, rows that repeat a doc_id take nothing from each other, and of copies all but
+    the smallest id's become empty; a character that loses a part goes whole; n_chars follows, other columns pass as
+    they are; an empty table stays empty."""
     return suffix_dedup.without_repeats(docs, suffix_dedup.deduplicate(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go. Null, empty and wordless texts hold none and stay; rows that
+    repeat are judged alike; a null doc_id is judged by its text; without items nothing goes; other columns pass as they
+    are; an empty table stays empty."""
     keyed = docs.withColumn("__llm_key", F.xxhash64(F.col("doc_id"), F.lit("row"), F.col("text")))
     found = decontamination.decontaminate(keyed.select(F.col("__llm_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     gone = cut(found.where("contaminated").select(F.col("doc_id").alias("__llm_key")).distinct())
@@ -46,7 +55,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents that are left, packed into sequences of 2048 ids."""
+    """All documents that are left, packed into sequences of 2048 ids. A null or empty text is one piece of one id; rows that
+    repeat, and rows with a null doc_id, are packed each; other columns are not read; an empty table gives no pieces."""
     return packing.pack_documents(docs)
 
 
