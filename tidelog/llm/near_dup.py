@@ -267,7 +267,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) ->
         hot = dense.select("x", "fame", F.explode("hot").alias("v"))
         # what copies were made from holds the group's frequent values and none of its edits
         leaders = hot.groupBy("v").agg(F.max_by("x", F.struct("fame", "x")).alias("l1"), F.min("x").alias("l2"))
-        stars = hot.join(leaders, "v").select("x", F.explode(F.array("l1", "l2")).alias("l")).where("x <> l").select(F.least("x", "l").alias("a"), F.greatest("x", "l").alias("b")).distinct()
+        # a class's lists mostly name the same few leaders
+        stars = hot.join(leaders, "v").groupBy("x").agg(F.array_union(F.collect_set("l1"), F.collect_set("l2")).alias("l")).select("x", F.explode("l").alias("l"))
+        stars = stars.where("x <> l").select(F.least("x", "l").alias("a"), F.greatest("x", "l").alias("b")).distinct()
 
         likely = scratch.keep(_estimated(pairs.select("a", "b").unionByName(stars), classes, percent), "likely")
         ends = likely.select(F.col("a").alias("x")).unionByName(likely.select(F.col("b").alias("x"))).distinct()
