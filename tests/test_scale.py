@@ -104,3 +104,18 @@ def test_plans_pair_nothing_with_everything(spark):
         assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert "Window" not in _plan(retention.compact(log, 100))
     assert layout.candidates(keys, files, disjoint=True).count() == 200
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 512])
+def test_overlapping_ranges_meet_stretches_of_keys(spark, stretch):
+    """Against a loop, with repeated and null keys, empty and open ranges; keys and ranges are not paired one by one."""
+    rng = random.Random(stretch)
+    keys = [(f"{rng.randrange(60):02d}",) for _ in range(80)] + [(None,)]
+    ranges = [(i, *sorted((f"{rng.randrange(60):02d}", f"{rng.randrange(60):02d}")), f"{rng.randrange(60):02d}" if i % 3 else None) for i in range(40)] + [(40, "5", "1", None)]
+    df = spark.createDataFrame(ranges, "file_no int, min_key string, max_key string, until string")
+    asked = spark.createDataFrame(keys, "key string")
+    want = sorted((k, n) for (k,) in keys for n, a, b, u in ranges if k is not None and a <= k <= b and (u is None or k < u))
+    assert rows_of(layout.held(asked, df, ["file_no"], stretch), "key", "file_no") == want
+    met = layout.candidates(asked, df.drop("until"))
+    assert rows_of(met, "key", "file_no") == sorted((k, n) for (k,) in keys for n, a, b, _ in ranges if k is not None and a <= k <= b)
+    assert "explode" in _plan(met)
