@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,24 @@ def test_blocks_of_all_files_of_a_key(spark):
     want = as_rows(index.lookup(layout.probed(keys, files), blocks))
     assert len(want) > 1000 and as_rows(found) == want
     assert "explode" in _plan(index.searched(keys, files, blocks))
+
+
+def test_filters_of_all_files_of_a_key(spark):
+    """As pairs that are asked one by one, and no key that is there is denied."""
+    keys, files, entries = _levels(spark)
+    filters = bloom.build(entries)
+    as_rows = lambda df: sorted((tuple(r) for r in df.select("file_no", "probe", "may_contain").collect()), key=repr)
+    got = as_rows(index.filtered(keys, files, filters))
+    assert got == as_rows(bloom.probe(layout.probed(keys, files), filters))
+    there = {(r["file_no"], r["key"]) for r in entries.collect()}
+    assert all(yes for n, k, yes in got if (n, k) in there) and not all(yes for *_, yes in got)
+
+
+def test_hashes_cut_to_any_size(spark):
+    """The halves give the positions of 64-bit arithmetic, at the largest size too."""
+    names = [f"user:{i}" for i in range(50)] + ["", "é" * 40]
+    for bits in (64, 1000, bloom.MOST_BITS):
+        row = spark.createDataFrame([(k,) for k in names], "key string").withColumn("h", bloom.halves("key"))
+        at = row.select("key", *[((F.col("h")[2 * i] * F.lit((1 << 32) % bits) + F.col("h")[2 * i + 1]) % bits).alias(f"p{i}") for i in range(bloom.PROBES)])
+        want = {k: tuple(p) for k, p in zip(names, bloom.positions([k.encode() for k in names], np.full(len(names), bits)).tolist(), strict=True)}
+        assert {r[0]: tuple(r)[1:] for r in at.collect()} == want
