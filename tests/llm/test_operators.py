@@ -520,6 +520,24 @@ def test_repeats_of_one_line_in_most_documents(spark, monkeypatch, fan):
     assert got(shown, *shown.columns) == Counter(r[:5] for r in brute.repeats(rows))
 
 
+def test_repeats_send_a_row_a_bucket(docs, rows, monkeypatch):
+    """The merge of many ranges makes a row for each bucket of documents, not for each document that loses something."""
+    made, gathered = [], suffix_dedup._gathered
+
+    def counted(merged, buckets):
+        bundles = merged.where("bucket is not null")
+        made.append((buckets, bundles.groupBy("bucket").count().count(), bundles.count(), bundles.selectExpr("sum(length(docs)) / 8").first()[0]))
+        return gathered(merged, buckets)
+
+    monkeypatch.setattr(suffix_dedup, "_gathered", counted)
+    monkeypatch.setattr(suffix_dedup, "SPAN_DOCS", -(-len(rows) // 3))
+    out = suffix_dedup.deduplicate(docs, range_bytes=4096, range_entries=200)
+    shown = out.select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("int").alias("s"), "kept_sha256")
+    assert got(shown, *shown.columns) == Counter(r[:5] for r in brute.repeats(rows))
+    (buckets, used, bundles, pairs), *_ = made
+    assert buckets == used == 3 and bundles < pairs / 3
+
+
 def test_repeats_of_nothing(none):
     assert suffix_dedup.deduplicate(none).count() == 0
 

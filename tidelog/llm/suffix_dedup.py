@@ -49,6 +49,10 @@ RUN_ENTRIES = 100_000
 RANGE_ENTRIES = 150_000
 #: Documents (about) whose shared anchors are gathered at once.
 BUCKET = 4096
+#: Documents, and bytes of text, (about) whose removed spans are gathered at once: ranges send a row for each bucket, not for
+#: each document, so rows do not grow with ranges times documents.
+SPAN_DOCS = 32_768
+SPAN_BYTES = 128 << 20
 #: Most pieces that a run is cut into at once, and bytes of text that are sampled for splitters.
 FAN = 4096
 SAMPLE_BYTES = 32 << 20
@@ -297,7 +301,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _by_row(doc: np.ndarray, key: np.ndarray, spans: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     order = np.lexsort((key, doc))
     doc, key, spans = doc[order], key[order], spans[order]
-    ends = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]), True]) if len(doc) else np.zeros(1, np.int64)
+    ends = _row_edges(doc, key)
     for a, b in zip(ends, ends[1:], strict=False):
         yield int(doc[a]), int(key[a]), spans[a:b].tobytes()
 
@@ -655,18 +659,43 @@ def _digests(e: Entries, of: np.ndarray, o: int) -> tuple[np.ndarray, np.ndarray
     return both[0], both[1]
 
 
-_SPANS = "doc_id long, key long, removed binary, a long, b long, place long, o int"
+_SPANS = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("docs", "keys", "counts", "removed")), *((c, pa.int64()) for c in ("doc_id", "key", "a", "b", "place")), ("o", pa.int32())])
+_SPANS_SQL = "bucket long, docs binary, keys binary, counts binary, removed binary, doc_id long, key long, a long, b long, place long, o int"
 
 
-def _merged(runs: DataFrame, n_ranges: int) -> DataFrame:
-    """Of every range: doc_id, key, removed (spans that a smaller id holds), or, with a removed of null, a window that
-    another range may hold too: its digest (a, b), place and o."""
+def _row_edges(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]), True]) if len(doc) else np.zeros(1, np.int64)
+
+
+def _bundled(doc: np.ndarray, key: np.ndarray, spans: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+    """Spans by bucket of their documents: bucket, documents, row keys, spans of each, and the spans."""
+    of = _buckets(doc, buckets)
+    order = np.lexsort((key, doc, of))
+    of, doc, key, spans = of[order], doc[order], key[order], spans[order]
+    cuts = _by_group(of)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        ends = _row_edges(doc[a:b], key[a:b])
+        first = a + ends[:-1]
+        yield int(of[a]), doc[first].tobytes(), key[first].tobytes(), np.diff(ends).astype("<u4").tobytes(), spans[a:b].tobytes()
+
+
+def _merged(runs: DataFrame, n_ranges: int, buckets: int) -> DataFrame:
+    """Of every range: for each bucket of documents the spans that a smaller id holds; and, with a bucket of null, windows
+    that another range may hold too: doc_id, key, digest (a, b), place and o."""
+
+    def table(columns: dict[str, pa.Array]) -> pa.Table:
+        n = len(next(iter(columns.values())))
+        return pa.table([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in _SPANS], schema=_SPANS)
+
+    def lost(doc: np.ndarray, key: np.ndarray, spans: np.ndarray) -> pa.Table:
+        rows = list(zip(*_bundled(doc, key, spans, buckets), strict=True)) or [()] * 5
+        return table({f.name: pa.array(c, f.type) for f, c in zip(_SPANS, rows, strict=False)})
 
     def meet(t: pa.Table) -> pa.Table:
-        none = [pa.nulls(t.num_rows, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32())]
-        names = ["doc_id", "key", "removed", "a", "b", "place", "o"]
         if t["range"][0].as_py() < 0:
-            return pa.table([t["doc_id"], t["key"], t["removed"], *none], names)
+            blobs = t["removed"].to_pylist()
+            n = [len(x) // _SPAN.itemsize for x in blobs]
+            return lost(np.repeat(np.asarray(t["doc_id"]), n), np.repeat(np.asarray(t["key"]), n), np.frombuffer(b"".join(blobs), _SPAN))
         rows = {name: [x.as_py() for c in t[name].chunks for x in c] for name in ("shared", "size", "rest", "left_size", "left", "docs", "keys", "places")}
         order, common = merge_runs([(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), c) for a, b, c in zip(rows["shared"], rows["size"], rows["rest"], strict=True)])
         e = _decoded(rows).taken(order)
@@ -683,27 +712,40 @@ def _merged(runs: DataFrame, n_ranges: int) -> DataFrame:
         i = np.flatnonzero(mask)
         spans = np.zeros(len(i), _SPAN)
         spans["place"], spans["mask"] = e.place[i], mask[i]
-        lost = list(_by_row(e.doc[i], e.key[i], spans))
-        table = [pa.table([pa.array(c, k) for c, k in zip(zip(*lost, strict=True) if lost else ((), (), ()), (pa.int64(), pa.int64(), pa.binary()), strict=True)] + [pa.nulls(len(lost), x.type) for x in none], names)]
+        out = [lost(e.doc[i], e.key[i], spans)]
         for o, j in going:
             a, b = _digests(e, j, o)
-            table.append(pa.table([pa.array(e.doc[j]), pa.array(e.key[j]), pa.nulls(len(j), pa.binary()), pa.array(a), pa.array(b), pa.array(e.place[j]), pa.array(np.full(len(j), o, np.int32))], names))
+            out.append(table({"doc_id": pa.array(e.doc[j]), "key": pa.array(e.key[j]), "a": pa.array(a), "b": pa.array(b), "place": pa.array(e.place[j]), "o": pa.array(np.full(len(j), o, np.int32))}))
+        give_back()
+        return pa.concat_tables(out)
+
+    return _by(runs, "range", 2 * n_ranges).applyInArrow(meet, _SPANS_SQL)
+
+
+def _gathered(merged: DataFrame, buckets: int) -> DataFrame:
+    """doc_id, key, removed of the bundles of all ranges, one row a document."""
+
+    def gather(t: pa.Table) -> pa.Table:
+        raw = {c: b"".join(t[c].to_pylist()) for c in ("docs", "keys", "counts", "removed")}
+        n = np.frombuffer(raw["counts"], "<u4")
+        doc, key, spans = np.repeat(np.frombuffer(raw["docs"], np.int64), n), np.repeat(np.frombuffer(raw["keys"], np.int64), n), np.frombuffer(raw["removed"], _SPAN)
+        rows = list(zip(*_by_row(doc, key, spans), strict=True)) or [()] * 3
         give_back()
-        return pa.concat_tables(table)
+        return pa.table([pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "key", "removed"])
 
-    return _by(runs, "range", 2 * n_ranges).applyInArrow(meet, _SPANS)
+    return _by(merged.where("bucket is not null").select("bucket", "docs", "keys", "counts", "removed"), "bucket", buckets).applyInArrow(gather, "doc_id long, key long, removed binary")
 
 
-def _spans(merged: DataFrame) -> DataFrame:
+def _spans(merged: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, key, removed: list of spans) of every row that loses something; merged is read twice. A window that went on
     has one row a range and repeat, so its digests spread; equal ones are counted together before they move."""
-    windows = merged.where("removed is null")
+    windows = merged.where("bucket is null").select("doc_id", "key", "a", "b", "place", "o")
     least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     lost = windows.join(least, ["a", "b"]).where("doc_id > least")
     # a span as it lies in memory: the place in eight bytes and the mask in four, least byte first
     little = lambda c, n: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(c), 2 * n, "0"), 2 * (n - k) - 1, 2) for k in range(n)]))
     one = F.concat(little(F.col("place"), 8), little(F.expr("shiftleft(1L, o)"), 4))
-    both = merged.where("removed is not null").select("doc_id", "key", "removed").unionByName(lost.select("doc_id", "key", one.alias("removed")))
+    both = _gathered(merged, buckets).unionByName(lost.select("doc_id", "key", one.alias("removed")))
     return both.groupBy("doc_id", "key").agg(F.collect_list("removed").alias("removed"))
 
 
@@ -785,7 +827,8 @@ def deduplicate(docs: DataFrame, fan: int = FAN, range_bytes: int = RANGE_BYTES,
         if wanted > fan:
             runs = scratch.keep(_runs_again(runs, fan, per := -(-2 * wanted // fan)), "runs")
             n_ranges *= per
-        spans = _spans(scratch.keep(_merged(runs, n_ranges), "merged"))
+        buckets = max(1, -(-n // SPAN_DOCS), -(-total // SPAN_BYTES))
+        spans = _spans(scratch.keep(_merged(runs, n_ranges, buckets), "merged"), buckets)
         # equal rows share a key
         partly = scratch.keep(_cut_out(texts.select("doc_id", "key", "text").join(spans, ["doc_id", "key"])).dropDuplicates(["doc_id", "key"]), "partly")
 
