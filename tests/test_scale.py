@@ -164,3 +164,22 @@ def test_hashes_cut_to_any_size(spark):
         at = row.select("key", *[((F.col("h")[2 * i] * F.lit((1 << 32) % bits) + F.col("h")[2 * i + 1]) % bits).alias(f"p{i}") for i in range(bloom.PROBES)])
         want = {k: tuple(p) for k, p in zip(names, bloom.positions([k.encode() for k in names], np.full(len(names), bits)).tolist(), strict=True)}
         assert {r[0]: tuple(r)[1:] for r in at.collect()} == want
+
+
+def test_ranges_go_to_groups_of_keys_they_reach(spark):
+    """Many groups, ranges over several of them; no key or pair meets all ranges, whatever may be broadcast."""
+    rng = random.Random(12)
+    keys = [(f"{rng.randrange(900):03d}",) for _ in range(700)] + [(None,), ("",)]
+    ranges = [(i, *sorted((f"{rng.randrange(900):03d}", f"{rng.randrange(900):03d}")), f"{rng.randrange(900):03d}" if i % 3 else None) for i in range(60)] + [(60, None, "9", None), (61, "", None, None)]
+    df = spark.createDataFrame(ranges, "file_no int, min_key string, max_key string, until string")
+    asked = spark.createDataFrame(keys, "key string").withColumn("also", F.length("key"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = layout.held(asked, df, ["file_no"], 4)
+        plan = _plan(met)
+        got = rows_of(met, "key", "also", "file_no")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert got == sorted((k, len(k), n) for (k,) in keys for n, a, b, u in ranges if None not in (k, a, b) and a <= k <= b and (u is None or k < u))
