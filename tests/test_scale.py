@@ -183,3 +183,23 @@ def test_ranges_go_to_groups_of_keys_they_reach(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert got == sorted((k, len(k), n) for (k,) in keys for n, a, b, u in ranges if None not in (k, a, b) and a <= k <= b and (u is None or k < u))
+
+
+def test_filters_are_built_by_batches_of_rows(spark):
+    """Files cut by batches and batches of many files, against positions of each file alone; no group for each file."""
+    sizes = {1: 1, 2: 30, 3: 2, 4: 11, 9: 5, 12: 64}
+    rows = [(n, f"k{n}-{i % 25}") for n, size in sizes.items() for i in range(size)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        built = bloom.build(spark.createDataFrame(rows, "file_no int, key string"))
+        got = {r["file_no"]: (r["bits"], bytes(r["field"])) for r in built.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert "FlatMapGroups" not in _plan(built)
+    for n, size in sizes.items():
+        bits = max(64, 10 * size)
+        field = np.zeros(-(-bits // 8) * 8, np.uint8)
+        field[bloom.positions([f"k{n}-{i}".encode() for i in range(min(size, 25))], np.full(min(size, 25), bits)).ravel()] = 1
+        assert got.pop(n) == (bits, np.packbits(field, bitorder="little").tobytes())
+    assert not got
